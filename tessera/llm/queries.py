@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packed_ids
+from . import bpe, packed_ids, pii
 from .common import read_table
 
 
@@ -14,9 +14,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(read_table(spark, sf_dir, "documents")))
+
+
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.written_and_read(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op10_packed_ids": op10_packed_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_pii": op4_pii, "op10_packed_ids": op10_packed_ids}
 ORACLES: dict[str, str] = {}

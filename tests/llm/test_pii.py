@@ -1,0 +1,76 @@
+import hashlib
+import random
+import re
+
+from tessera.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card":
+                total = sum(d if i % 2 == 0 else (2 * d - 9 * (d > 4)) for i, d in enumerate(reversed(digits)))
+                if not 16 <= len(digits) <= 19 or total % 10:
+                    continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def base(text):
+    return pii.listed([s for s in pii.scored(text) if s[0] in pii.BASE_KINDS])
+
+
+def test_base_spans_equal_the_patterns_on_random_texts():
+    rng = random.Random(1)
+    for alphabet in ("a@.b-", "0129.+() -", "1.2@a+", "4 -1é@.x+("):
+        for _ in range(3000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
+            assert base(text) == brute(text), text
+
+
+def test_checksums():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
+
+
+def test_context_words_decide_further_kinds():
+    assert pii.scored("my ssn is 219-09-9999")[0][0] == "social_security"
+    assert pii.scored("part 219-09-9999") == []
+    assert [s[0] for s in pii.scored("call me: 202-555-0143")] == ["local_phone"]
+    assert pii.scored("iban GB82 WEST 1234 5698 7654 32.")[0][:1] == ("iban",)
+    assert pii.scored("amex card 378282246310005")[0][0] == "short_card"
+
+
+def test_operator_query_and_redaction(spark):
+    texts = [None, "", "é a.b@c.example.com 1.2.3.4 x", "4111 1111-1111 1111 +1 (017) 555-7713 999.1.1.1", "clean text, version 2.0.", "1" * 30000, "x@" * 9000]
+    docs = spark.createDataFrame([(i, t, "k", i) for i, t in enumerate(texts)] * 2, "doc_id long, text string, spans string, start int")
+    rows = pii.digests(pii.find(docs)).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(want.count(f"{k}:") for k in BASE)
+    out = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert out[2].text == "é [EMAIL] [IP] x" and out[2].spans == "k"
+    assert out[0].text is None and out[4].text == texts[4]
+    assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_sample_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    for r in pii.digests(pii.find(rows)).collect():
+        assert r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest()
