@@ -193,22 +193,29 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def round_trip_digests(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode those ids, in one pass over the texts."""
+def round_trip_digests(documents: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode those ids, in one pass over the texts.
+
+    with_ids adds the ids themselves (binary, little-endian uint32).
+    """
     path = vocabulary or default_vocabulary()
+    schema = T.StructType([*DIGESTS.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, held = [], [], [], []
             for t in _texts(b.column(1)):
                 ids = c.encode(t)
+                if with_ids:
+                    held.append(ids)
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 d.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], DIGESTS.names)
+            columns = [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(held, pa.binary())] if with_ids else [])], schema.names)
 
-    return map_arrow(text_input(documents), run, DIGESTS)
+    return map_arrow(text_input(documents), run, schema)
 
 
 def _texts(column: pa.Array) -> Iterator:

@@ -45,9 +45,15 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
-def statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counted statistics. No shuffle."""
-    d = columns_or_null(documents, {"doc_id": "long", "text": "string", "lang": "string", "source": "string"})
+def statistics(documents: DataFrame, keep_rows: bool = False) -> DataFrame:
+    """doc_id, lang, source and the counted statistics, and the rows themselves as a struct if wanted. No shuffle."""
+    wanted = {"doc_id": "long", "text": "string", "lang": "string", "source": "string"}
+    if keep_rows:
+        row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+        have = set(documents.columns)
+        d = documents.select(row, *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
+    else:
+        d = columns_or_null(documents, wanted)
     d = d.withColumn("w", words_of(F.col("text")))
     d = d.withColumn("n_words", F.size("w").cast("long"))
     windows = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
@@ -70,6 +76,7 @@ def statistics(documents: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
+        *(["row"] if keep_rows else []),
     )
 
 
@@ -162,9 +169,8 @@ def estimates(vectors: DataFrame) -> DataFrame:
     return now
 
 
-def rules(documents: DataFrame) -> DataFrame:
-    """Statistics of every document, base_failed, distance (squared; null if base_failed) and kept."""
-    stats = materialise(_vectors(statistics(documents)), "statistics")
+def _chosen(stats: DataFrame) -> DataFrame:
+    """by_source with the estimate that its documents are held against."""
     found = estimates(stats)
     enough = found.where(F.col("n_rows") >= LEAST_ROWS).drop("n_rows")
     numbers = [c for c in enough.columns if c != "g"]
@@ -174,14 +180,28 @@ def rules(documents: DataFrame) -> DataFrame:
     chosen = groups.join(as_level("by_source"), "by_source", "left").join(as_level("by_lang"), "by_lang", "left").join(F.broadcast(every), F.lit(True), "left")  # one row at most
     chosen = materialise(chosen.select("by_source", F.coalesce("e_by_source", "e_by_lang", "e_all").alias("e")).select("by_source", "e.*"), "chosen")
     release(found)
-    distance = F.when(~F.col("base_failed"), _distance()).alias("distance")
-    scored = _with_estimates(stats, chosen, "by_source").withColumn("distance", distance)
-    # without any document that passes the base rules there are no estimates, and nothing to keep
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False))).alias("kept"), "distance")
+    return chosen
+
+
+def _judged(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Adds distance and kept. Where no document passes the base rules there are no estimates, and nothing to keep."""
+    distance = F.when(~F.col("base_failed"), _distance())
+    judged = _with_estimates(vectors, chosen, "by_source").withColumn("distance", distance)
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False)))
+
+
+def rules(documents: DataFrame) -> DataFrame:
+    """Statistics of every document, base_failed, distance (squared; null if base_failed) and kept."""
+    stats = materialise(_vectors(statistics(documents)), "statistics")
+    return _judged(stats, _chosen(stats)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def reject(documents: DataFrame) -> DataFrame:
-    """documents that the rules keep; all columns stay. Rows that share a doc_id stay or go together."""
-    gone = rules(documents).where(~F.col("kept")).select("doc_id").distinct()
-    known = documents.where(F.col("doc_id").isNotNull())
-    return known.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    """documents that the rules keep; all columns stay.
+
+    Texts are counted again rather than shuffled to meet their verdicts, so null and repeated doc_ids need no care.
+    """
+    stats = materialise(_vectors(statistics(documents)), "statistics")
+    chosen = _chosen(stats)
+    release(stats)
+    return _judged(_vectors(statistics(documents, keep_rows=True)), chosen).where("kept").select("row.*")
