@@ -4,12 +4,13 @@
    its signature (the minima of many universal hash functions). No shuffle.
 2. Documents with the same set form a class; the smallest doc_id represents it. Copies, however many, meet here and
    nowhere else.
-3. Classes that share a band key share a bucket. Candidate pairs join a bucket's pivots to its members; they are
-   checked by signature, then on the full sets, and the links' components are found by large-star and small-star.
-   A bucket whose members are in one component is done. In the others, more pivots follow: first the smallest
-   member, then the smallest of each of PIVOT_CLASSES hash classes, at last every member, always against members of
-   other components alone. So a group of near copies costs a few pairs a member, and no pair that could join two
-   components goes unchecked.
+3. Classes that share a band key are candidates; the components of candidates are groups, found from one edge a member
+   and bucket. Links can exist inside a group alone.
+4. Groups are cut into blocks of bounded rows and bytes, and each pair of blocks is one task: signatures first, then
+   the exact sizes of the intersections of the full sets that may still be linked, as products of 0/1 matrices over
+   the shingles that occur twice. A task returns a star for each local component, so neither candidate pairs nor
+   links are ever rows, however many copies a group holds, and no pair of a group goes unchecked.
+5. Large-star and small-star join the stars to components.
 
 Defined results: null or empty texts, and texts without words, have no shingles, link with nothing and are kept; a
 text with fewer words than a shingle has its whole sequence as its only shingle; rows with the same doc_id count as
@@ -31,15 +32,16 @@ from .common import map_arrow, materialise, release, text_input, text_slices
 from .components import components
 from .shingles import MinHash, band_keys, set_ids, shingle_sets, utf8
 
-#: A pair at similarity 0.8 shares none of 24 bands of 4 minima with probability 3e-6.
-BANDS, ROWS = 24, 4
-#: Signatures agreeing on less than this much below the threshold (about five standard deviations) end a check.
+#: A pair at similarity 0.8 shares none of 32 bands of 5 minima with probability 3e-6.
+BANDS, ROWS = 32, 5
+#: Signatures agreeing on less than this much below the threshold (over five standard deviations) end a check.
 SIGNATURE_MARGIN = 0.2
-PIVOT_CLASSES = (1, 16, None)
+#: Mean rows and most bytes of sets in a block of a group; shingles that are compared at a time.
+BLOCK_ROWS, BLOCK_BYTES, BLOCK_SHINGLES = 512, 16 << 20, 4096
 
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
-CHECKED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("linked", T.BooleanType())])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
+EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -68,57 +70,83 @@ def full_sets(documents: DataFrame, words: int) -> DataFrame:
                 values, sizes = shingle_sets(*utf8(b.column(1)), words)
                 ends = np.cumsum(sizes)
                 raw = [values[e - s : e].tobytes() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), _binary(minima(values, sizes)), pa.array(raw, pa.binary())], SETS.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), _binary(minima(values, sizes)), pa.array(sizes), pa.array(raw, pa.binary())], SETS.names)
 
     return map_arrow(text_input(documents), run, SETS)
 
 
-def similar(first: bytes, second: bytes, percent: int) -> bool:
-    """100 * intersection >= percent * union, over sorted distinct 64-bit values."""
-    a, b = np.frombuffer(first, np.uint64), np.frombuffer(second, np.uint64)
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) -> a, b, linked: by signature, then on the full sets."""
-    least = percent / 100 - SIGNATURE_MARGIN
-    left = sets.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for i in range(batch.num_rows):
-                sa, sb, xa, xb = (batch.column(k)[i].as_py() for k in (2, 3, 4, 5))
-                near = np.mean(np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)) >= least
-                linked.append(bool(near and similar(xa, xb, percent)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], CHECKED.names)
-
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b"), run, CHECKED)
-
-
-def _open_buckets(buckets: DataFrame, where: DataFrame | None) -> DataFrame:
-    """bucket, rep, comp of the buckets that hold more than one component."""
-    if where is None:
-        return buckets.withColumn("comp", F.col("rep"))
-    rows = buckets.join(where, buckets["rep"] == where["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-    spread = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    return rows.join(spread, "bucket")
-
-
-def _pairs(open_rows: DataFrame, classes: int | None) -> DataFrame:
-    """Distinct pairs a < b of a pivot and a member of another component in the same bucket."""
-    if classes is None:
-        pivots = open_rows
-    else:
-        one = F.struct("rep", "comp")
-        pivots = open_rows.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(classes)).alias("part")).agg(F.min(one).alias("p")).select("bucket", "p.rep", "p.comp")
-    pivots = pivots.select("bucket", F.col("rep").alias("p_rep"), F.col("comp").alias("p_comp"))
-    met = open_rows.join(pivots, "bucket").where("comp <> p_comp")
-    return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
+def linked(signatures: list[np.ndarray], sets: list[list[np.ndarray]], percent: int) -> np.ndarray:
+    """Which of one block's sets (rows) link with which of another's (columns): 100 * intersection >= percent * union."""
+    (one, two), (a, b) = signatures, sets
+    agree = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(one.shape[1]):
+        agree += one[:, k][:, None] == two[:, k][None, :]
+    na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    least, most = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
+    maybe = (agree >= (percent / 100 - SIGNATURE_MARGIN) * one.shape[1]) & (100 * least >= percent * most)
+    out = np.zeros(maybe.shape, bool)
+    rows, columns = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+    if not len(rows):
+        return out
+    values = np.concatenate([*(a[i] for i in rows), *(b[j] for j in columns)])
+    owner = np.repeat(np.arange(len(rows) + len(columns)), [*na[rows], *nb[columns]])
+    _, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # shingles that occur once are in no intersection
+    twice = (times > 1)[place]
+    place, owner = number[place[twice]], owner[twice]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    both = np.zeros((len(rows), len(columns)), np.float64)
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, BLOCK_SHINGLES):
+        lo, hi = np.searchsorted(place, (first, first + BLOCK_SHINGLES))
+        held = np.zeros((len(rows) + len(columns), BLOCK_SHINGLES), np.float32)
+        held[owner[lo:hi], place[lo:hi] - first] = 1
+        both += held[: len(rows)] @ held[len(rows) :].T
+    union = np.add.outer(na[rows], nb[columns]) - both
+    out[np.ix_(rows, columns)] = maybe[np.ix_(rows, columns)] & (both > 0) & (100 * both >= percent * union)
+    return out
+
+
+def local_roots(link: np.ndarray) -> np.ndarray:
+    """Each node's smallest reachable node in a symmetric matrix of links."""
+    root = np.arange(len(link))
+    while True:
+        near = np.where(link, root[None, :], len(link)).min(axis=1, initial=len(link))
+        after = np.minimum(root, near)
+        after = after[after]
+        if np.array_equal(after, root):
+            return root
+        root = after
+
+
+def block_stars(table: pa.Table, percent: int) -> pa.Table:
+    """One pair of a group's blocks (columns doc_id, signature, shingles, block, i, j) -> stars of its components."""
+    table = table.combine_chunks().sort_by("doc_id")
+    ids = table["doc_id"].to_numpy()
+    signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(ids), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+    link = np.zeros((len(ids), len(ids)), bool)
+    i, j, block = table["i"][0].as_py(), table["j"][0].as_py(), table["block"].to_numpy()
+    rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if len(rows) and len(columns):
+        found = linked([signatures[rows], signatures[columns]], [[sets[k] for k in rows], [sets[k] for k in columns]], percent)
+        link[np.ix_(rows, columns)] |= found
+        link[np.ix_(columns, rows)] |= found.T
+    root = local_roots(link)
+    away = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"u": pa.array(ids[away], pa.int64()), "v": pa.array(ids[root[away]], pa.int64())})
+
+
+def group_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Stars (u, v) of the links inside each group; groups (node, component) names the group of all but its smallest."""
+    narrow = sets.select("doc_id", "n").join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("g"))
+    sizes = narrow.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("long")
+    sizes = sizes.where("rows > 1").select("g", blocks.alias("blocks"))
+    placed = narrow.join(sizes, "g").select("doc_id", "g", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
+    dealt = sets.select("doc_id", "signature", "shingles").join(placed, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "signature", "shingles")
+    return dealt.groupBy("g", "i", "j").applyInArrow(lambda table: block_stars(table, percent), EDGES)
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -126,33 +154,15 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     sketches = materialise(sketch(documents, words), "sketch")
     classes = materialise(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
     banded = classes.select(F.explode("keys").alias("bucket"), "rep")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = materialise(banded.join(shared, "bucket").select("bucket", "rep"), "buckets")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select("bucket", "least")
+    buckets = materialise(banded.join(shared, "bucket").select("rep", "least").distinct(), "buckets")
     members = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(full_sets(documents.select("doc_id", "text").join(members, "doc_id"), words).dropDuplicates(["doc_id"]), "sets")
-
-    where, links, checked = None, [], []
-    for classes_now in PIVOT_CLASSES:
-        open_rows = materialise(_open_buckets(buckets, where), "open")
-        pairs = _pairs(open_rows, classes_now)
-        for done in checked:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialise(check(pairs, sets, percent), "checked")
-        release(open_rows)
-        checked.append(found)
-        if found.isEmpty():
-            break
-        links.append(found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
-        where = components(edges)
+    groups = components(buckets.select(F.col("rep").alias("u"), F.col("least").alias("v")), roots=False)
+    where = components(group_links(sets, groups, percent), roots=False)
     release(buckets, sets)
     rows = sketches.select("doc_id", "n_shingles", "set_id").join(classes.select("set_id", "rep"), "set_id", "left")
-    if where is not None:
-        rows = rows.join(where, rows["rep"] == where["node"], "left")
-    else:
-        rows = rows.withColumn("component", F.lit(None).cast("long"))
+    rows = rows.join(where, rows["rep"] == where["node"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
