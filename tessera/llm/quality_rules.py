@@ -204,4 +204,7 @@ def reject(documents: DataFrame) -> DataFrame:
     stats = materialise(_vectors(statistics(documents)), "statistics")
     chosen = _chosen(stats)
     release(stats)
-    return _judged(_vectors(statistics(documents, keep_rows=True)), chosen).where("kept").select("row.*")
+    again = _vectors(statistics(documents, keep_rows=True))
+    # A generator keeps the filter from being moved below it, where it would repeat the counting in every term.
+    counted = F.explode(F.array(F.struct("by_source", "base_failed", *X))).alias("counted")
+    return _judged(again.select("row", counted).select("row", "counted.*"), chosen).where("kept").select("row.*")
