@@ -121,3 +121,4 @@ def text_input(df: DataFrame, *more: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches small; texts are long and a batch is held whole in memory on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, packed_ids, pii, quality_rules
+from . import bpe, minhash, mixing, packed_ids, pii, quality_rules, repeats
 from .common import read_table
 
 
@@ -30,9 +30,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read_table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.written_and_read(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_pii": op4_pii, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op8_mixing": op8_mixing, "op10_packed_ids": op10_packed_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_pii": op4_pii, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op8_mixing": op8_mixing, "op9_repeats": op9_repeats, "op10_packed_ids": op10_packed_ids}
 ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}
