@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, packed_ids, pii, quality_rules, repeats
+from . import bpe, minhash, mixing, packed_ids, pii, quality_rules, repeats, vectors
 from .common import read_table
 
 
+def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.written_and_read(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_pii": op4_pii, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op8_mixing": op8_mixing, "op9_repeats": op9_repeats, "op10_packed_ids": op10_packed_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_vectors": op1_vectors, "op2_bpe": op2_bpe, "op4_pii": op4_pii, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op8_mixing": op8_mixing, "op9_repeats": op9_repeats, "op10_packed_ids": op10_packed_ids}
 ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}
