@@ -1,0 +1,101 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.sources import config, handlers, tables
+from tessera.streaming import status
+
+
+class Fragile(handlers.Handler):
+    def process_batch(self, batch):
+        if batch.payload == "bad":
+            raise ValueError("no")
+        if batch.payload == "flaky":
+            raise OSError("later")
+        return handlers.BatchResult(True, {"n": 2, "s": "x"})
+
+
+def test_handler_over_batches(spark):
+    rows = spark.createDataFrame([("t", "1", "ok"), ("t", None, "ok"), ("t", "3", "bad"), ("t", "4", "flaky")], "task_id string, batch_uid string, payload string")
+    got = {r.batch_uid: r for r in handlers.run_batches(rows, Fragile).collect()}
+    assert got["1"].success and got["1"].metrics == {"n": "2", "s": "x"}
+    assert (got["3"].reason, got["3"].permanent) == ("unexpected_error", True) and not got["4"].permanent
+    assert sum(len(u) == 64 for u in got) == 1
+
+
+def test_local_run_stops_at_the_first_failure():
+    class Two(Fragile):
+        def iter_batches(self, loaded):
+            yield from (handlers.Batch(x) for x in loaded["input_inline"]["items"])
+
+        def finalize(self):
+            return {"done": 1}
+
+    assert [k for k, _ in handlers.run_local(Two(), {"items": ["ok", "bad", "ok"]})["events"]] == ["BATCH_OK", "BATCH_FAILED", "TASK_FAILED"]
+    good = handlers.run_local(Two(), {"items": ["ok", "ok"]})
+    assert good["metrics"] == {"done": 1} and good["events"][-1][0] == "TASK_DONE"
+    assert handlers.run_local(handlers.EchoHandler())["events"][0][1].metrics == {"echoed": 5}
+
+
+def test_adapter_choice_and_arguments(spark):
+    assert handlers.resolve_adapter("pull.from_artifacts", "other") == "pull.from_artifacts"
+    assert handlers.resolve_adapter(None, "pull.from_artifacts") == "pull.from_artifacts"
+    assert handlers.resolve_adapter(None, "unknown") is None
+    with pytest.raises(handlers.AdapterError) as e:
+        handlers.resolve_adapter("unknown", None)
+    assert e.value.reason == "bad_input_adapter"
+    name = "pull.from_artifacts.rechunk:size"
+    assert handlers.check_arguments(name, {"from_node": "a", "size": 3}) == {"from_nodes": ["a"], "size": 3}
+    for args, strict in (({"size": 3}, False), ({"from_nodes": ["a"], "size": 0}, False), ({"from_nodes": ["a"], "size": True}, False), ({"from_nodes": ["a"], "size": 2, "meta_list_key": 5}, False), ({"from_nodes": ["a"], "size": 2}, True)):
+        with pytest.raises(handlers.AdapterError):
+            handlers.check_arguments(name, args, strict)
+    rows = spark.createDataFrame([("t", "a", "u1", "partial", {"skus": ["1", "2", "3", "4"]}), ("t", "a", None, "complete", {"skus": ["1"]})], "task_id string, node_id string, batch_uid string, status string, meta map<string,array<string>>")
+    out = handlers.ADAPTERS[name](rows, ["a"], size=2, meta_list_key="skus")
+    assert [len(r.chunk) for r in out.collect()] == [2, 2]
+    assert [len(r.chunk) for r in handlers.ADAPTERS[name](rows, ["a"], size=10).collect()] == [1]
+
+
+def test_settings(tmp_path):
+    f = tmp_path / "c.json"
+    f.write_text(json.dumps({"heartbeat_soft_sec": 5, "kafka_bootstrap": "file"}))
+    s = config.load(str(f), env={"KAFKA_BOOTSTRAP_SERVERS": "env", "WORKER_TYPES": "a, b"}, discovery_window_sec=2)
+    assert (s.heartbeat_soft_sec, s.kafka_bootstrap, s.worker_types, s.discovery_window_ms) == (5, "env", ("a", "b"), 2000)
+    with pytest.raises(KeyError):
+        config.load(env={}, nonsense=1)
+
+
+def test_envelopes_and_routing(spark):
+    values = [json.dumps({"msg_type": "signal", "role": "c", "target_worker_id": w, "task_id": "t"}) for w in ("me", "you", None)] + ["{broken"]
+    env = tables.parse_envelopes(spark.createDataFrame([(v,) for v in values], "value string"))
+    assert tables.routed(env, "signal", worker_id="me").count() == 2
+    assert tables.routed(env, "signal", role="c").count() == 3 and tables.routed(env, "event").count() == 0
+
+
+def test_stream_deduplicates_and_resumes(spark, tmp_path):
+    def rows(*ids):
+        return spark.createDataFrame([(i, f"2024-01-01 00:00:{i % 60:02d}") for i in ids], "event_id long, t string").select("event_id", F.to_timestamp("t").alias("ts"))
+
+    inp, out, check = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))
+    rows(1, 2, 2, 3).write.parquet(inp)
+    schema = rows(1).schema
+    for more in ((), (3, 4, 4), ()):
+        if more:
+            rows(*more).write.mode("append").parquet(inp)
+        status.drain(status.first_wins_stream(status.read_events(spark, inp, schema), ["event_id"], delay="1 day"), check, out)
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+
+
+def test_batches_reach_the_handler_once(spark, tmp_path):
+    inp, check = f"file://{tmp_path}/in", f"file://{tmp_path}/check"
+    df = spark.range(7).select("id", F.current_timestamp().alias("ts"))
+    df.write.parquet(inp)
+    seen = []
+    for _ in range(2):
+        status.drain_batches(status.read_events(spark, inp, df.schema), check, lambda b, _: seen.append(b.count()))
+    assert sum(seen) == 7
+
+
+def test_windowed_totals_as_a_batch(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:10:00", 1.0), ("a", "2024-01-01 00:50:00", 2.0), ("a", "2024-01-01 01:10:00", 4.0)], "k string, t string, v double").select("k", F.to_timestamp("t").alias("ts"), "v")
+    assert sorted((r.n, r.total) for r in status.windowed_totals(rows, ["k"], "v").collect()) == [(1, 4.0), (2, 3.0)]
