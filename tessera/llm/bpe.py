@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from .common import map_arrow, text_input
 
 #: Entries in a generation of a worker's caches, and the longest key that is kept; longer ones are encoded anew.
-CACHE_CHUNKS = 200_000
-CACHE_WORDS = 250_000
+CACHE_CHUNKS = 400_000
+CACHE_WORDS = 400_000
 CACHE_CHARS = 40
 
 
