@@ -115,9 +115,11 @@ def mix(documents: DataFrame) -> DataFrame:
     """The mixed corpus: documents, each as often as it is taken. All columns stay; texts are not shuffled."""
     _, sources, ranges = plan(documents)
     needed = ["mix_source", "epochs", "last_range", "through"]
-    missing = documents if "source" in documents.columns else documents.withColumn("source", F.lit(None).cast("string"))
-    rows = _copies(with_keys(missing), sources.select(*needed), ranges)
-    return rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    have = set(documents.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("mix_row")  # columns of any name stay out of the way
+    given = documents.select(whole, *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("source", "string"))])
+    rows = _copies(with_keys(given), sources.select(*needed), ranges)
+    return rows.select("mix_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("mix_row.*")
 
 
 #: The same selection in one query for an engine without a cluster: the whole of every source is sorted.

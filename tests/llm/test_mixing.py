@@ -52,7 +52,7 @@ def test_equals_the_oracle_and_targets_by_hand(spark, rows):
 
 
 def test_mixed_documents(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").dropDuplicates(["doc_id"])
+    docs = spark.createDataFrame([(*r, 1, "k", 2.0) for r in rows], "doc_id long, text string, source string, epochs int, mix_size string, through double").dropDuplicates(["doc_id"])
     plan = {r.doc_id: r.taken for r in mixing.taken(docs).collect()}
     out = mixing.mix(docs)
     assert out.columns == docs.columns
