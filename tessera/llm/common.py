@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,3 +122,12 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches small; texts are long and a batch is held whole in memory on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def apart(key: str) -> Column:
+    """A join key (of a long) that an aggregation by the same column is not already dealt by.
+
+    Joined straight to such an aggregation a hot key could not be split; with a shuffle on either side Spark's
+    adaptive execution cuts its partition into parts. The aggregated side has one row for each key.
+    """
+    return F.col(key).bitwiseXOR(F.lit(1))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, release
+from .common import apart, map_arrow, materialise, release
 
 PARTITION_EDGES = 200_000
 
@@ -23,10 +23,10 @@ MOST_ROUNDS = 60
 def _stars(pairs: DataFrame) -> DataFrame:
     """pairs (node, other): each node's other nodes next to the smallest of them and itself.
 
-    The minimum is combined before the shuffle; joining it back is a plain join, which Spark splits where a hub is hot.
+    The minimum is combined before the shuffle; the join that brings it back can be split where a hub is hot.
     """
     least = pairs.groupBy("node").agg(F.min("other").alias("m")).select(F.col("node").alias("hub"), F.least("node", "m").alias("m"))
-    return pairs.join(least, F.col("node") == F.col("hub")).select("node", "other", "m")
+    return pairs.join(least, apart("node") == apart("hub")).select("node", "other", "m")
 
 
 def large_star(edges: DataFrame) -> DataFrame:

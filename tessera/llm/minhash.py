@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialise, release, text_input, text_slices
+from .common import apart, map_arrow, materialise, release, text_input, text_slices
 from .components import components
 from .shingles import MinHash, band_keys, set_ids, shingle_sets, utf8
 
@@ -154,8 +154,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     sketches = materialise(sketch(documents, words), "sketch")
     classes = materialise(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
     banded = classes.select(F.explode("keys").alias("bucket"), "rep")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select("bucket", "least")
-    buckets = materialise(banded.join(shared, "bucket").select("rep", "least").distinct(), "buckets")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select(F.col("bucket").alias("full"), "least")
+    buckets = materialise(banded.join(shared, apart("bucket") == apart("full")).select("rep", "least").distinct(), "buckets")
     members = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(full_sets(documents.select("doc_id", "text").join(members, "doc_id"), words).dropDuplicates(["doc_id"]), "sets")
     groups = components(buckets.select(F.col("rep").alias("u"), F.col("least").alias("v")), roots=False)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _texts
-from .common import columns_or_null, map_arrow, materialise, release, small_batches
+from .common import apart, columns_or_null, map_arrow, materialise, release, small_batches
 from .shingles import _BYTE, _STEP, mix
 
 Q, DEPTH = 25, 200
@@ -198,7 +198,8 @@ def _refined(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame, DataFra
     Returns covered, representatives (row, first, n and further columns), and the table behind both, to be released.
     """
     shared = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("c"), F.min("name").alias("low"), F.max("name").alias("high")).where("c > 1")
-    met = materialise(rows.join(shared.select("key", "low", "high"), "key"), "met")
+    shared = shared.select(F.col("key").alias("bucket"), "low", "high")
+    met = materialise(rows.join(shared, apart("key") == apart("bucket")).drop("bucket"), "met")
     differ = met.where("low <> high")
     classes = differ.groupBy("key", "name").agg(F.count("*").alias("c"), F.min(F.struct("row", "first")).alias("r"))
     classes = materialise(classes, "classes")
@@ -239,8 +240,8 @@ def covered_windows(documents: DataFrame) -> DataFrame:
         whole_blocks, open_blocks, met = _refined(parts, "ids")
         release(met)
         windows = materialise(open_blocks.select("key", "row", "first", F.posexplode("ids").alias("k", "id")).select("key", "id", "row", (F.col("first") + F.col("k")).alias("first")).distinct(), "windows")
-        twice = windows.groupBy("key", "id").agg(F.count("*").alias("c")).where("c > 1").select("key", "id")
-        single = materialise(windows.join(twice, ["key", "id"], "left_semi").select("row", "first", F.lit(1).cast("long").alias("n")), "single")
+        twice = windows.groupBy("key", "id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("bucket"), F.col("id").alias("same"))
+        single = materialise(windows.join(twice, (apart("key") == apart("bucket")) & (F.col("id") == F.col("same")), "left_semi").select("row", "first", F.lit(1).cast("long").alias("n")), "single")
         release(parts, windows, open_runs, open_blocks)
     own = found.where("key is null").select("row", "first", "n")
     return own.union(whole).union(whole_blocks).union(single)
