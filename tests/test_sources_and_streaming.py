@@ -7,16 +7,23 @@ from tessera.sources import config, handlers, tables
 from tessera.streaming import status
 
 
-class Fragile(handlers.Handler):
-    def process_batch(self, batch):
-        if batch.payload == "bad":
-            raise ValueError("no")
-        if batch.payload == "flaky":
-            raise OSError("later")
-        return handlers.BatchResult(True, {"n": 2, "s": "x"})
+def fragile():
+    """A class of a function travels to the workers by value; they can't import this module."""
+    from tessera.sources.handlers import BatchResult, Handler
+
+    class Fragile(Handler):
+        def process_batch(self, batch):
+            if batch.payload == "bad":
+                raise ValueError("no")
+            if batch.payload == "flaky":
+                raise OSError("later")
+            return BatchResult(True, {"n": 2, "s": "x"})
+
+    return Fragile
 
 
 def test_handler_over_batches(spark):
+    Fragile = fragile()
     rows = spark.createDataFrame([("t", "1", "ok"), ("t", None, "ok"), ("t", "3", "bad"), ("t", "4", "flaky")], "task_id string, batch_uid string, payload string")
     got = {r.batch_uid: r for r in handlers.run_batches(rows, Fragile).collect()}
     assert got["1"].success and got["1"].metrics == {"n": "2", "s": "x"}
@@ -25,7 +32,7 @@ def test_handler_over_batches(spark):
 
 
 def test_local_run_stops_at_the_first_failure():
-    class Two(Fragile):
+    class Two(fragile()):
         def iter_batches(self, loaded):
             yield from (handlers.Batch(x) for x in loaded["input_inline"]["items"])
 
