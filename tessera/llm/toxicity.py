@@ -16,7 +16,6 @@ is 0; repeated rows repeat their results; further columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Cache, _texts
-from .common import map_arrow, text_input
+from .bpe import _texts
+from .common import map_arrow, text_input, text_slices
 from .labelled import held_out, labelled_texts
+from .shingles import _STEP, mix
 
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 3000
@@ -40,6 +40,8 @@ LEAST_STEPS = 400
 THRESHOLD = 0.5
 #: Longest part of a word that makes n-grams in one piece; longer "words" are cut.
 WORD_CHARS = 40
+#: Words whose log-odds a worker remembers before it starts anew.
+CACHE_WORDS = 400_000
 
 _words = re.compile(r"\w+").findall
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -50,11 +52,24 @@ def words_of(text: str) -> list[str]:
     return [w if len(w) <= WORD_CHARS else w[i : i + WORD_CHARS] for w in _words(text.lower()) for i in range(0, len(w), WORD_CHARS)]
 
 
-def grams_of(word: str) -> np.ndarray:
-    """Buckets of the word and of its character n-grams, with marks for its ends."""
-    marked = f"<{word}>"
-    parts = [f"={word}", *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
-    return np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts], np.int32)
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of their character n-grams (with marks for a word's ends), and the words' numbers."""
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(points)) - starts[owner]
+    left = lengths[owner] - place
+    whole = mix(np.add.reduceat(mix(points + place.astype(np.uint64) * _STEP), starts)) if len(words) else points
+    buckets, owners = [whole], [np.arange(len(words))]
+    h = np.zeros(len(points), np.uint64)
+    for k in range(max(GRAMS)):
+        h[: len(points) - k] = h[: len(points) - k] * _STEP + points[k:] + np.uint64(1)
+        if k + 1 in GRAMS:
+            inside = left > k
+            buckets.append(mix(h[inside] + np.uint64(k)))
+            owners.append(owner[inside])
+    return (np.concatenate(buckets) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(owners)
 
 
 class Model:
@@ -63,8 +78,12 @@ class Model:
     def __init__(self, buckets: np.ndarray, bias: float):
         self.buckets, self.bias = buckets, bias
 
-    def word(self, word: str) -> float:
-        return float(self.buckets[grams_of(word)].mean())
+    def words(self, words: list[str]) -> list[float]:
+        """Log-odds of the words' mean vectors."""
+        if not words:
+            return []
+        buckets, owner = grams_of(words)
+        return (np.bincount(owner, self.buckets[buckets], len(words)) / np.bincount(owner, minlength=len(words))).tolist()
 
     def score(self, values: list[float]) -> float:
         """Noisy or over a text's segments, given its words' log-odds."""
@@ -83,9 +102,9 @@ def train(rows: list[tuple[str, int]], seed: int = 1) -> Model:
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t, _ in rows]
     labels = np.array([y for _, y in rows])
-    grams = [grams_of(w) for w in number]
-    begin = np.cumsum([0, *map(len, grams)])
-    grams = np.concatenate(grams) if grams else np.zeros(0, np.int32)
+    grams, owner = grams_of(list(number))
+    grams = grams[np.argsort(owner, kind="stable")]
+    begin = np.append(0, np.cumsum(np.bincount(owner, minlength=len(number))))
     e = rng.normal(0, 0.3, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w, bias = np.zeros((DIMENSIONS, 2), np.float32), np.array([0.0, START_BIAS])
     w[0, 1] = 0.5
@@ -138,10 +157,16 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every whole text. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Cache(lambda c: [model.word(w) for w in words_of(c)], 200_000, WORD_CHARS)
-        for b in batches:
-            scores = [model.score([x for c in t.split() for x in chunk[c]]) if t else 0.0 for t in _texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], SCORED.names)
+        known: dict[str, float] = {}
+        for batch in batches:
+            for b in text_slices(batch, limit=1 << 20):
+                texts = [words_of(t) if t else [] for t in _texts(b.column(1))]
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                new = list({w for t in texts for w in t if w not in known})
+                known.update(zip(new, model.words(new), strict=True))
+                scores = [model.score(list(map(known.__getitem__, t))) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], SCORED.names)
 
     return map_arrow(text_input(documents), run, SCORED)
 

@@ -18,7 +18,7 @@ def test_misspellings_share_n_grams():
     word = lambda: "".join(rng.choice("abcdehilmnorst") for _ in range(rng.randrange(2, 9)))
     rows = [(" ".join([*(word() for _ in range(60)), *(["dreadful"] if k % 3 == 0 else [])]), int(k % 3 == 0)) for k in range(240)]
     model = toxicity.train(rows)
-    score = lambda t: model.score([model.word(w) for w in toxicity.words_of(t)])
+    score = lambda t: model.score(model.words(toxicity.words_of(t)))
     assert score("dreadfull") > 0.5 > score("lovely")
     long = " ".join(word() for _ in range(400))
     assert score(f"{long} dreadful {long}") > score(f"{long} {long}")
