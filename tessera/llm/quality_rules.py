@@ -31,7 +31,8 @@ LEAST_ROWS = 100
 #: Squared distance up to which documents are kept: six standard deviations in one direction.
 CUTOFF = 36.0
 #: Least standard deviation of each transformed statistic: most documents have no symbols and no repetition at all.
-FLOORS = {"x1": 0.25, "x2": 0.04, "x3": 0.12, "x4": 0.12}
+#: x3 stays below 0.5 and x4, past the base rules, below 0.36; their floors let either reject a document by itself.
+FLOORS = {"x1": 0.25, "x2": 0.04, "x3": 0.05, "x4": 0.04}
 X = tuple(FLOORS)
 #: Prior counts by which the ratios of short texts are drawn to common values.
 PRIOR_WORDS, PRIOR_LENGTH, PRIOR_LINES = 50.0, 5.0, 5.0

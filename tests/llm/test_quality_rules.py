@@ -47,3 +47,19 @@ def test_empty_tables(spark):
     assert q.rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = spark.createDataFrame([(1, "few words")], "doc_id long, text string")
     assert [tuple(r)[:8] for r in q.rules(only).collect()] in ([], [(1, 2, 8, 0, 0, 0, True, False)])
+
+
+def test_repetition_alone_rejects(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeilmnorst") for _ in range(5))
+    line = lambda n: " ".join(word() for _ in range(n))
+    plain = ["\n".join(line(8) for _ in range(20)) for _ in range(300)]
+    once = lambda n: [line(8) for _ in range(n)]
+    both = "\n".join([*[line(2)] * 55, *once(15)])  # 110 of 230 words repeat, 54 of 70 lines are duplicates
+    words = " ".join([*[line(9)] * 10, line(105)])  # 90 of 195 words repeat, one line
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*plain, both, words])], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in q.rules(docs).collect()}
+    assert all(rows[i].kept for i in range(300))
+    assert not rows[300].base_failed and rows[300].n_dup_lines == 54 and 40 * 230 <= 100 * rows[300].n_repeat_words <= 50 * 230
+    assert not rows[301].base_failed and 40 * 195 <= 100 * rows[301].n_repeat_words <= 50 * 195
+    assert not rows[300].kept and not rows[301].kept
