@@ -63,7 +63,7 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     whole = mix(np.add.reduceat(mix(points + place.astype(np.uint64) * _STEP), starts)) if len(words) else points
     buckets, owners = [whole], [np.arange(len(words))]
     h = np.zeros(len(points), np.uint64)
-    for k in range(max(GRAMS)):
+    for k in range(min(max(GRAMS), len(points))):
         h[: len(points) - k] = h[: len(points) - k] * _STEP + points[k:] + np.uint64(1)
         if k + 1 in GRAMS:
             inside = left > k

@@ -58,3 +58,12 @@ def test_prior_estimate_is_near_the_truth():
     assert 0.5 < model.prior < 0.85
     scores = model.score([quality_classifier.statistics(t) for t in (good(), bad())])
     assert scores[0] > 0.5 > scores[1]
+
+
+@pytest.mark.parametrize("text", ["a", "ok", "abc", "abcd"])
+def test_a_table_of_one_short_word(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert [(r.doc_id, r.score) for r in toxicity.scored(docs, labels).collect()] == [(1, 0.0)]
+    longer, owner = toxicity.grams_of([text, "longer"])
+    assert sorted(toxicity.grams_of([text])[0]) == sorted(longer[owner == 0])
