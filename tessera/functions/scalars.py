@@ -5,51 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of secret-like strings, matched at the start of a value.
+# Patterns of secret-like strings, each matched from the start of a trimmed value; the sixth in any case.
 SECRET_PATTERNS = (
-    r"^[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
-    r"^-----BEGIN [A-Z ]+-----",
-    r"^(AKIA|ASIA)[A-Z0-9]{16}",
-    r"^AIza[0-9A-Za-z_-]{35}",
-    r"^xox[baprs]-[0-9A-Za-z-]{10,}",
-    r"^(?i:Bearer)\s+[A-Za-z0-9._~+/=-]{10,}",
-    r"^[A-Za-z0-9+/_-]{24,}={0,2}$",
+    r"^[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+$",
+    r"-----BEGIN [A-Z ]+-----",
+    r"^AKIA[0-9A-Z]{16}$",
+    r"^AIza[0-9A-Za-z\-_]{35}$",
+    r"^xox[baprs]-[0-9A-Za-z\-]+",
+    r"^Bearer\s+[A-Za-z0-9\-_\.=]{20,}$",
+    r"^[A-Za-z0-9\+\/=]{24,}$",
 )
+ANY_CASE = SECRET_PATTERNS[5]
 SECRET_MIN_CHARS = 20
 SECRET_MIN_ENTROPY = 3.2
 
-#: What Python's float() accepts and a cast does too: digits with optional fraction and exponent, inf and nan.
-FLOAT_TEXT = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+#: All characters that count as white space at the ends of a text.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+#: What Python's float() accepts: digits, also grouped by underscores, with optional fraction and exponent, inf and nan.
+_DIGITS = r"\d+(?:_\d+)*"
+FLOAT_TEXT = rf"^[+-]?((({_DIGITS})(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))$"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def stable_id(*parts: Column | str) -> Column:
-    """A content id: SHA-256 over the parts joined by '#'. Null parts are left out."""
-    return F.sha2(F.concat_ws("#", *parts), 256)
+    """A content id: SHA-256 over the parts as a JSON array of texts and nulls, so different parts never read alike."""
+    return F.sha2(F.to_json(F.array(*[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])), 256)
 
 
 def coerce_float(text: Column | str) -> Column:
-    """Number in a text, or null: lists, words and type suffixes are not numbers; booleans count as 1 and 0."""
-    t = F.col(text) if isinstance(text, str) else text
-    flag = F.when(F.lower(F.trim(t)) == "true", 1.0).when(F.lower(F.trim(t)) == "false", 0.0)
-    return F.when(t.rlike(FLOAT_TEXT), F.trim(t).try_cast("double")).otherwise(flag)
+    """Number in a text, or null: lists, words (true and false among them) and type suffixes are not numbers."""
+    t = stripped(F.col(text) if isinstance(text, str) else text)
+    return F.when(t.rlike(FLOAT_TEXT), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def entropy(text: Column | str) -> Column:
-    """Shannon entropy in bits a character; 0 for an empty text."""
+    """Shannon entropy in bits a character; 0 for an empty text.
+
+    The sorted characters are passed once: a run of c equal ones adds c * log2(c), and the entropy of n characters is
+    log2(n) less the sum over n.
+    """
     t = F.col(text) if isinstance(text, str) else text
     n = F.length(t).cast("double")
-    letters = F.array_distinct(F.filter(F.split(t, ""), lambda c: c != ""))
-    part = lambda c: (F.length(t) - F.length(F.replace(t, c, F.lit("")))) / n
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(letters, F.lit(0.0), lambda acc, c: acc - part(c) * F.log2(part(c))))
+    letters = F.array_sort(F.filter(F.split(t, ""), lambda c: c != ""))
+    weight = lambda c: c * F.log2(F.greatest(c, F.lit(1.0)))
+    state = lambda last, run, total: F.struct(last.alias("last"), run.alias("run"), total.alias("total"))
+    start = state(F.lit(""), F.lit(0.0), F.lit(0.0))
+    step = lambda acc, c: F.when(acc["last"] == c, state(c, acc["run"] + 1.0, acc["total"])).otherwise(state(c, F.lit(1.0), acc["total"] + weight(acc["run"])))
+    runs = F.aggregate(letters, start, step, lambda acc: acc["total"] + weight(acc["run"]))
+    return F.when(n == 0, F.lit(0.0)).when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - runs / n))
 
 
 def is_sensitive(text: Column | str) -> Column:
-    """Secret-like: at least 20 characters after trimming, and a known pattern or high entropy. Null is not."""
-    t = F.trim(F.col(text) if isinstance(text, str) else text)
+    """Secret-like: at least 20 characters after trimming, and a known pattern or high entropy. Null is not.
+
+    The length is tested before any pattern, the patterns before the entropy.
+    """
+    t = stripped(F.col(text) if isinstance(text, str) else text)
     known = F.lit(False)
     for p in SECRET_PATTERNS:
-        known = known | t.rlike(p)
-    return F.coalesce(F.when(F.length(t) < SECRET_MIN_CHARS, F.lit(False)).otherwise(known | (entropy(t) >= SECRET_MIN_ENTROPY)), F.lit(False))
+        known = known | t.rlike(("(?i)" if p == ANY_CASE else "") + ("" if p.startswith("^") else "^") + p)
+    judged = F.when(F.length(t) < SECRET_MIN_CHARS, F.lit(False)).when(known, F.lit(True)).otherwise(entropy(t) >= SECRET_MIN_ENTROPY)
+    return F.coalesce(judged, F.lit(False))
 
 
 def is_sensitive_bytes(raw: Column | str) -> Column:
@@ -102,6 +123,6 @@ def topic(kind: str, step_type: Column | str) -> Column:
 
 
 def required_count(fan_in: Column, size: Column) -> Column:
-    """n of 'count:n'; all dependencies where n is no number."""
-    n = F.regexp_extract(F.lower(fan_in), r"^count:\s*(\d+)\s*$", 1)
-    return F.coalesce(n.try_cast("int"), size)
+    """n of 'count:n', whatever its sign; all dependencies where n is no whole number."""
+    n = F.regexp_extract(F.lower(fan_in), r"^count:\s*([+-]?\d+(?:_\d+)*)\s*$", 1)
+    return F.coalesce(F.replace(n, F.lit("_"), F.lit("")).try_cast("int"), size)

@@ -28,11 +28,12 @@ def aggregate(rows: DataFrame, mode: str = "sum", exact_scale: int | None = None
     """rows (task_id, node_id, failed, metrics map<string,string>) -> task_id, node_id, key, value.
 
     Failed rows are left out, final ones count; values that are no numbers are skipped. Any mode but "mean" is a sum;
-    a mean is over the rows that have the key. With exact_scale sums are decimal, so the order of rows plays no part.
+    a mean is over the rows that have the key. With exact_scale sums are decimal, so the order of rows plays no part; a number of 10^(28 - exact_scale) or more is
+    then an error, never a silent loss.
     """
     pairs = rows.where(not_value("failed", True)).select("task_id", "node_id", F.explode("metrics").alias("key", "text"))
     numbers = pairs.select("task_id", "node_id", "key", coerce_float("text").alias("v")).where("v is not null")
-    v = F.col("v") if exact_scale is None else F.col("v").cast(f"decimal(18,{exact_scale})")
+    v = F.col("v") if exact_scale is None else F.col("v").cast(f"decimal(28,{exact_scale})")
     out = numbers.groupBy("task_id", "node_id", "key").agg(F.sum(v).cast("double").alias("total"), F.count("*").alias("n"))
     return out.select("task_id", "node_id", "key", (F.col("total") / F.col("n") if mode == "mean" else F.col("total")).alias("value"))
 

@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Limits of paths and values.
 MAX_PATHS = 256
 MAX_DEPTH = 16
 MAX_SEGMENTS = 14  # below the prefix under which variables are kept
@@ -70,11 +71,24 @@ def assignments(values: Mapping[str, Any], detector: Callable[[str, Any], bool]
     return {check_path(k): check_value(v) for k, v in flat.items()}
 
 
+def _bound(f: Callable[..., Column], *columns: Column) -> Column:
+    """f over columns that stand in the expression once each, however often f uses them.
+
+    Chained calls would otherwise repeat what they are made of, and grow as a power of their number.
+    """
+    held = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(columns)])
+    return F.get(F.transform(F.array(held), lambda s: f(*[s[f"_{i}"] for i in range(len(columns))])), F.lit(0))
+
+
+def _clash(old: Column, new: Column) -> Column:
+    """Whether a leaf is displaced by a new one: the same path, or one above or below it."""
+    return old.startswith(F.concat(new, F.lit("."))) | new.startswith(F.concat(old, F.lit("."))) | (old == new)
+
+
 def merged(left: Column, right: Column) -> Column:
     """left with right's leaves written over it; a new leaf displaces leaves below and above it."""
-    clash = lambda old, new: old.startswith(F.concat(new, F.lit("."))) | new.startswith(F.concat(old, F.lit("."))) | (old == new)
-    names = F.map_keys(right)
-    return F.map_concat(F.map_filter(left, lambda k, _: ~F.exists(names, lambda n: clash(k, n))), right)
+    keep = lambda a, b: F.map_filter(a, lambda k, _: ~F.exists(F.map_keys(b), lambda n: _clash(k, n)))
+    return _bound(lambda a, b: F.map_concat(keep(a, b), b), left, right)
 
 
 def set_values(current: Column, values: Mapping[str, Any], detector: Callable[[str, Any], bool] | None = None) -> Column:
@@ -98,15 +112,40 @@ def checked_step(by: Any) -> float:
     return by
 
 
-def increment(current: Column, path: str, by: float = 1) -> Column:
-    """Adds to a numeric leaf, made if missing; a leaf that is no number fails the query."""
-    check_path(path)
-    checked_step(by)
-    old = F.element_at(current, F.lit(path))
+def _added(tree: Column, path: Column, by: Column) -> Column:
+    """tree with by added to the leaf at path; path and by are bound by the caller."""
+    old = F.element_at(tree, path)
     number = old.try_cast("double")
     bad = old.isNotNull() & number.isNull()
-    new = F.when(bad, F.raise_error(F.lit(f"{path} is not a number")).cast("double")).otherwise(F.coalesce(number, F.lit(0.0)) + F.lit(float(by)))
-    return merged(current, F.create_map(F.lit(path), new.cast("string")))
+    new = F.when(bad, F.raise_error(F.concat(path, F.lit(" is not a number"))).cast("double")).otherwise(F.coalesce(number, F.lit(0.0)) + by)
+    rest = F.map_filter(tree, lambda k, _: ~_clash(k, path))
+    return F.map_concat(rest, F.map_from_arrays(F.array(path), F.array(new.cast("string"))))
+
+
+def increment(current: Column, path: str, by: float = 1) -> Column:
+    """Adds to a numeric leaf, made if missing; a leaf that is no number fails the query. Many at once: increments()."""
+    return increments(current, [(path, by)])
+
+
+def increments(current: Column, steps: list[tuple[str, float]]) -> Column:
+    """Adds step after step, in one pass over an array: the expression grows by a literal for each of them."""
+    if not steps:
+        return current
+    todo = F.array(*[F.struct(F.lit(check_path(p)).alias("path"), F.lit(float(checked_step(by))).alias("by")) for p, by in steps])
+    return F.aggregate(todo, current, lambda tree, s: _added(tree, s["path"], s["by"]))
+
+
+def touched(*paths: str) -> int:
+    """How many paths an unset is asked for, present or not."""
+    return len({check_path(p) for p in paths})
+
+
+def subtree(current: Column, path: str) -> Column:
+    """The leaves at and below a path, named from there on ('' is the path itself); an empty map for a missing path."""
+    check_path(path)
+    at, below = F.lit(path), F.lit(path + ".")
+    inside = F.map_filter(current, lambda k, _: (k == at) | k.startswith(below))
+    return F.transform_keys(inside, lambda k, _: F.when(k == at, F.lit("")).otherwise(F.substring(k, F.lit(len(path) + 2), F.length(k))))
 
 
 def counters(deltas: DataFrame, keys: list[str], by: str = "by") -> DataFrame:

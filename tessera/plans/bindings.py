@@ -202,7 +202,7 @@ def j8_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH u AS (SELECT user_id, list(event_id ORDER BY event_id) AS items FROM events GROUP BY 1),
 c AS (SELECT user_id, unnest(range(0, CAST(ceil(len(items) / 7.0) AS BIGINT))) AS i, items FROM u)
-SELECT user_id, CAST(i AS INTEGER) AS chunk_no, array_to_string(items[i * 7 + 1 : i * 7 + 7], ',') AS items, sha256('u#' || user_id || '#' || i) AS chunk_uid FROM c""")
+SELECT user_id, CAST(i AS INTEGER) AS chunk_no, array_to_string(items[i * 7 + 1 : i * 7 + 7], ',') AS items, sha256(CAST(to_json(['u', CAST(user_id AS VARCHAR), CAST(i AS VARCHAR)]) AS VARCHAR)) AS chunk_uid FROM c""")
 def n1_rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = scan(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("list"))
     out = artifacts.rechunk(lists, "list", 7, F.lit("u"), F.col("user_id").cast("string"))
@@ -326,7 +326,7 @@ def r1_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("new_state").alias("state"), F.col("new_attempts").alias("attempts"), F.col("new_next_attempt_at_ms").alias("next_ms"))
 
 
-@query("SELECT sha256(event_type || '#' || user_id || '#' || CAST(floor(value) AS BIGINT)) AS fp, min(event_id) AS event_id FROM events GROUP BY 1")
+@query("SELECT sha256(CAST(to_json([event_type, CAST(user_id AS VARCHAR), CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)]) AS VARCHAR)) AS fp, min(event_id) AS event_id FROM events GROUP BY 1")
 def r2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("topic"), F.col("user_id").cast("string").alias("key"), F.floor("value").cast("long").cast("string").alias("dedup_id"))
     return reliability.enqueued(rows, ["event_id"]).select("fp", "event_id")

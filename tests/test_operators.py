@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,15 @@ def test_variables(spark):
     for by in [1] * 10 + [2] * 5:
         value = tree.increment(value, "n", by)
     assert float(one(value)["n"]) == 20
+    began = time.perf_counter()
+    assert float(one(tree.increments(start, [("n", 1), ("new.count", 0.5)] * 500))["new.count"]) == 250
+    assert time.perf_counter() - began < 30
+    deep = start
+    for k in range(12):
+        deep = tree.merged(deep, F.create_map(F.lit(f"obj.b.k{k}"), F.lit(str(k))))
+    assert set(one(deep)) == {"obj.a", "obj.b.c", "n", *(f"obj.b.k{k}" for k in range(12))}
+    assert one(tree.subtree(start, "obj.b")) == {"c": "2"} and one(tree.subtree(start, "n")) == {"": "0"} and one(tree.subtree(start, "ob")) == {}
+    assert tree.touched("obj.b", "missing", "missing") == 2
     assert float(one(tree.increment(tree.increment(start, "f", 1.5), "f", -0.5))["f"]) == 1.0
     with pytest.raises(Exception, match="not a number"):
         one(tree.increment(F.create_map(F.lit("n"), F.lit('"text"')), "n", 1))
