@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing
 
@@ -66,3 +67,28 @@ def test_empty_and_bare_tables(spark):
     assert mixing.taken(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     assert [tuple(r) for r in mixing.taken(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()] == [(1, 2, 2, 2.0, 2)]
+
+
+def words(out):
+    found = {}
+    for r in out.collect():
+        found[r.source] = found.get(r.source, 0) + len((r.text or "").split())
+    return found
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_equal_rows_are_split_by_number(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "PART_ROWS", 64)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    rows = [(None, "a b c d e f g h i j", "one")] * 1000 + [(5, "w " * 7, "two")] * 900 + [(None, f"v{i}", "two") for i in range(300)] + [(None, "w " * 7, "one"), (6, None, "two"), (6, "", "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.taken(docs).collect()
+    assert sorted(map(tuple, got), key=str) == oracle(rows)
+    for size in (10_007, 6_600):
+        mine = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 10
+    sizes = {"one": 10_007, "two": 6_600}
+    more = docs.withColumn("m", F.create_map(F.lit("k"), F.lit(1))).withColumn("mix_row", F.lit("c"))
+    out = mixing.mix(more)
+    assert out.columns == more.columns
+    assert {s: n for s, n in words(out).items()} == {s: sum(r.taken for r in got if r.source_size == sizes[s]) for s in sizes}
