@@ -2,20 +2,22 @@
 
 1. A sketch of each document: its distinct word shingles, a 128-bit name of the set, and the keys of the bands of
    its signature (the minima of many universal hash functions). No shuffle.
-2. Documents with the same set form a class; the smallest doc_id represents it. Copies, however many, meet here and
-   nowhere else.
-3. Classes that share a band key are candidates; the components of candidates are groups, found from one edge a member
-   and bucket. Links can exist inside a group alone.
-4. Groups are cut into blocks of bounded rows and bytes, and each pair of blocks is one task: signatures first, then
-   the exact sizes of the intersections of the full sets that may still be linked, as products of 0/1 matrices over
-   the shingles that occur twice. A task returns a star for each local component, so neither candidate pairs nor
-   links are ever rows, however many copies a group holds, and no pair of a group goes unchecked.
-5. Large-star and small-star join the stars to components.
+2. Documents with the same set form a class, a numbered node; the smallest doc_id represents it. Copies, however many,
+   meet here and nowhere else.
+3. Classes that share a band key stand in one bucket. Every class is verified against the first one of each of its
+   buckets: signatures first, then the full sets. Large-star and small-star join the links to components.
+4. A bucket whose classes are in one component has nothing more to tell: that ends all groups of near copies, however
+   large, after work in proportion to their size. The other buckets of three or more are cut into blocks of bounded
+   rows and bytes; each pair of blocks is one task, which verifies the pairs of different components that share no
+   earlier band, as products of 0/1 matrices over the shingles that occur twice. A task returns a star for each local
+   component, so neither candidate pairs nor links are ever rows, and no pair of a bucket goes unchecked.
+5. Components over all links.
 
 Defined results: null or empty texts, and texts without words, have no shingles, link with nothing and are kept; a
-text with fewer words than a shingle has its whole sequence as its only shingle; rows with the same doc_id count as
-one document; a null doc_id links with nothing and has a null component; further columns are ignored by
-near_duplicates() and kept by deduplicate().
+text with fewer words than a shingle has its whole sequence as its only shingle; a null doc_id links with nothing and
+has a null component; rows of one doc_id with different texts are different documents, each in its own component, and
+all have the smallest doc_id of theirs; further columns are ignored by near_duplicates() and kept by deduplicate(),
+which keeps one row of each component, also where rows are repeated.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ SIGNATURE_MARGIN = 0.2
 #: Mean rows and most bytes of sets in a block of a group; shingles that are compared at a time.
 BLOCK_ROWS, BLOCK_BYTES, BLOCK_SHINGLES = 512, 16 << 20, 4096
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
 EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
@@ -57,9 +59,9 @@ def sketch(documents: DataFrame, words: int) -> DataFrame:
                 values, sizes = shingle_sets(*utf8(b.column(1)), words)
                 keys = band_keys(minima(values, sizes), BANDS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes), pa.array(set_ids(values, sizes), pa.binary()), lists], SKETCH.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(sizes), pa.array(set_ids(values, sizes), pa.binary()), lists], SKETCH.names)
 
-    return map_arrow(text_input(documents), run, SKETCH)
+    return map_arrow(text_input(documents.withColumn("text_hash", F.xxhash64("text")), "text_hash"), run, SKETCH)
 
 
 def full_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -70,13 +72,34 @@ def full_sets(documents: DataFrame, words: int) -> DataFrame:
                 values, sizes = shingle_sets(*utf8(b.column(1)), words)
                 ends = np.cumsum(sizes)
                 raw = [values[e - s : e].tobytes() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), _binary(minima(values, sizes)), pa.array(sizes), pa.array(raw, pa.binary())], SETS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, sizes), pa.binary()), _binary(minima(values, sizes)), pa.array(sizes), pa.array(raw, pa.binary())], SETS.names)
 
     return map_arrow(text_input(documents), run, SETS)
 
 
-def linked(signatures: list[np.ndarray], sets: list[list[np.ndarray]], percent: int) -> np.ndarray:
-    """Which of one block's sets (rows) link with which of another's (columns): 100 * intersection >= percent * union."""
+def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v, signature, shingles, other_signature, other_shingles) -> the links (u, v) among them."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in (2, 4))
+        maybe = np.flatnonzero((one == two).mean(1) >= percent / 100 - SIGNATURE_MARGIN)
+        found = []
+        for k in maybe.tolist():
+            x, y = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint64) for c in (3, 5))
+            both = np.concatenate([x, y])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if common and 100 * common >= percent * (len(x) + len(y) - common):
+                found.append(k)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found, pa.int64())), b.column(1).take(pa.array(found, pa.int64()))], EDGES.names)
+
+
+def linked(signatures: list[np.ndarray], sets: list[list[np.ndarray]], percent: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """Which of one block's sets (rows) link with which of another's (columns): 100 * intersection >= percent * union.
+
+    With asked, only the pairs that it marks are looked at.
+    """
     (one, two), (a, b) = signatures, sets
     agree = np.zeros((len(a), len(b)), np.uint16)
     for k in range(one.shape[1]):
@@ -84,6 +107,8 @@ def linked(signatures: list[np.ndarray], sets: list[list[np.ndarray]], percent:
     na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     least, most = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
     maybe = (agree >= (percent / 100 - SIGNATURE_MARGIN) * one.shape[1]) & (100 * least >= percent * most)
+    if asked is not None:
+        maybe &= asked
     out = np.zeros(maybe.shape, bool)
     rows, columns = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
     if not len(rows):
@@ -120,54 +145,98 @@ def local_roots(link: np.ndarray) -> np.ndarray:
 
 
 def block_stars(table: pa.Table, percent: int) -> pa.Table:
-    """One pair of a group's blocks (columns doc_id, signature, shingles, block, i, j) -> stars of its components."""
-    table = table.combine_chunks().sort_by("doc_id")
-    ids = table["doc_id"].to_numpy()
-    signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(ids), -1)
-    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-    link = np.zeros((len(ids), len(ids)), bool)
-    i, j, block = table["i"][0].as_py(), table["j"][0].as_py(), table["block"].to_numpy()
+    """One pair of a bucket's blocks (columns bucket, i, j, block, node, label, least, signature, shingles) -> stars."""
+    table = table.combine_chunks().sort_by("node")
+    ids, label, block = (table[c].to_numpy() for c in ("node", "label", "block"))
+    i, j, bucket, least = (table[c][0].as_py() for c in ("i", "j", "bucket", "least"))
     rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    if len(rows) and len(columns):
-        found = linked([signatures[rows], signatures[columns]], [[sets[k] for k in rows], [sets[k] for k in columns]], percent)
+    # pairs of one component, and pairs with the bucket's first class, are settled
+    asked = (label[rows][:, None] != label[columns]) & (ids[rows] != least)[:, None] & (ids[columns] != least)
+    root = np.arange(len(ids))
+    if asked.any():
+        signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(ids), -1)
+        keys = band_keys(signatures, BANDS)
+        for band in range(int(np.flatnonzero((keys == bucket).all(0))[0])):  # pairs that share an earlier band meet there
+            asked &= keys[rows, band][:, None] != keys[columns, band]
+    if asked.any():
+        link = np.zeros((len(ids), len(ids)), bool)
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        found = linked([signatures[rows], signatures[columns]], [[sets[k] for k in rows], [sets[k] for k in columns]], percent, asked)
         link[np.ix_(rows, columns)] |= found
         link[np.ix_(columns, rows)] |= found.T
-    root = local_roots(link)
+        root = local_roots(link)
     away = np.flatnonzero(root != np.arange(len(ids)))
     return pa.table({"u": pa.array(ids[away], pa.int64()), "v": pa.array(ids[root[away]], pa.int64())})
 
 
-def group_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Stars (u, v) of the links inside each group; groups (node, component) names the group of all but its smallest."""
-    narrow = sets.select("doc_id", "n").join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("g"))
-    sizes = narrow.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+def first_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between classes and the first classes of their buckets (bucket, node, least, n)."""
+    pairs = buckets.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    one = sets.select(F.col("node").alias("u"), "signature", "shingles", "n")
+    two = sets.select(F.col("node").alias("v"), F.col("signature").alias("other_signature"), F.col("shingles").alias("other_shingles"), F.col("n").alias("m"))
+    like = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    met = pairs.join(one, "u").join(two, "v").where(like).select("u", "v", "signature", "shingles", "other_signature", "other_shingles")
+    return map_arrow(met, lambda batches: verified(batches, percent), EDGES)
+
+
+def open_links(buckets: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Stars (u, v) of the links of the buckets that known components (node, component) leave open."""
+    labelled = buckets.where("n > 2").join(known, "node", "left").select("bucket", "node", "least", F.coalesce("component", "node").alias("label"))
+    labelled = labelled.join(sets.select("node", F.col("n").alias("size")), "node")
+    still = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"), F.sum("size").alias("shingles")).where("low <> high")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("long")
-    sizes = sizes.where("rows > 1").select("g", blocks.alias("blocks"))
-    placed = narrow.join(sizes, "g").select("doc_id", "g", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
-    dealt = sets.select("doc_id", "signature", "shingles").join(placed, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "signature", "shingles")
-    return dealt.groupBy("g", "i", "j").applyInArrow(lambda table: block_stars(table, percent), EDGES)
+    still = still.select(F.col("bucket").alias("open"), blocks.alias("blocks"))
+    placed = labelled.join(still, apart("bucket") == apart("open")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = placed.join(sets.select("node", "signature", "shingles"), "node")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "least", "signature", "shingles")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(lambda table: block_stars(table, percent), EDGES)
+
+
+def _grouped(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component (a number, null without links or shingles) and component_id of every row."""
+    sketches = materialise(sketch(documents, words), "sketch")
+    classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered as they are written
+    banded = classes.select(F.explode("keys").alias("bucket"), "node")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select(F.col("bucket").alias("full"), "least", "n")
+    buckets = materialise(banded.join(shared, apart("bucket") == apart("full")).select("bucket", "node", "least", "n"), "buckets")
+    members = classes.select("node", "set_id", "rep").join(buckets.select("node").distinct(), "node")
+    wanted = documents.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = materialise(full_sets(wanted, words).join(members.select("set_id", "node"), "set_id").drop("set_id").dropDuplicates(["node"]), "sets")
+    firsts = materialise(first_links(buckets, sets, percent), "links")
+    known = components(firsts)
+    more = open_links(buckets, sets, known, percent)
+    where = components(firsts.union(more))
+    release(buckets, sets, firsts)
+    met = classes.select("node", "rep").join(where, "node")
+    least = met.groupBy("component").agg(F.min("rep").alias("component_id")).select(F.col("component").alias("whole"), "component_id")
+    met = met.join(least, apart("component") == apart("whole")).select("node", "component", "component_id")
+    named = classes.select("set_id", "rep", "node").join(met, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
+    rows = sketches.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
+    return rows.select("doc_id", "text_hash", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (whether that is its own)."""
-    sketches = materialise(sketch(documents, words), "sketch")
-    classes = materialise(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
-    banded = classes.select(F.explode("keys").alias("bucket"), "rep")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select(F.col("bucket").alias("full"), "least")
-    buckets = materialise(banded.join(shared, apart("bucket") == apart("full")).select("rep", "least").distinct(), "buckets")
-    members = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(full_sets(documents.select("doc_id", "text").join(members, "doc_id"), words).dropDuplicates(["doc_id"]), "sets")
-    groups = components(buckets.select(F.col("rep").alias("u"), F.col("least").alias("v")), roots=False)
-    where = components(group_links(sets, groups, percent), roots=False)
-    release(buckets, sets)
-    rows = sketches.select("doc_id", "n_shingles", "set_id").join(classes.select("set_id", "rep"), "set_id", "left")
-    rows = rows.join(where, rows["rep"] == where["node"], "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    rows = _grouped(documents, words, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """documents without those whose component has a smaller doc_id; all columns stay."""
-    gone = near_duplicates(documents, words, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    """documents with one row of each component: one with its smallest doc_id. All columns stay.
+
+    Rows are told apart by doc_id and a hash of the text; texts are not shuffled, but for rows that are repeated.
+    """
+    rows = materialise(_grouped(documents, words, percent), "groups")
+    first = rows.where("component is not null and doc_id = component_id").groupBy("component").agg(F.min("text_hash").alias("stays"), F.count("*").alias("n"))
+    several = materialise(first.where("n > 1").select("component", "stays"), "several")
+    gone = rows.where("component is not null and doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    whole = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
+    is_row = (F.col("d") == F.col("_d")) & (F.col("h") == F.col("_h"))
+    if not several.limit(1).count():
+        return whole.join(gone, is_row, "left_anti").select("row.*")
+    met = rows.join(several, "component").where("doc_id = component_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), (F.col("text_hash") == F.col("stays")).alias("stays")).distinct()
+    once = whole.join(gone.union(met.select("_d", "_h")), is_row, "left_anti")
+    again = whole.join(met.where("stays"), is_row, "left_semi").groupBy("d", "h").agg(F.first("row").alias("row"))
+    return once.select("row.*").union(again.select("row.*"))

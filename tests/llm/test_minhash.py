@@ -63,11 +63,47 @@ def test_components_equal_brute_force(spark, rows):
     assert minhash.deduplicate(docs).columns == docs.columns
 
 
+def test_blocks_of_buckets(spark, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(minhash.near_duplicates(docs, 4)) == brute(rows, 4)
+
+
+def test_buckets_without_links_and_hidden_links(spark, monkeypatch):
+    """Many documents of one template: about 0.6 alike, so they share buckets, and some pairs among them link."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    template, rows = [word() for _ in range(100)], []
+    for k in range(120):
+        own = template + [word() for _ in range(30)]
+        rows.append((k, " ".join(own)))
+        if k % 4 == 0:
+            rows.append((1000 - k, " ".join([*own[:-3], word()])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4)
+    assert len({c for _, c in want.values()}) == 120
+    assert result(minhash.near_duplicates(docs, 4)) == want
+
+
 def test_defined_results(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(None, 2, None, True), (3, 2, 3, True), (3, 2, 3, True), (2, 0, 2, True)], key=str)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    assert minhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (5, a.upper()), (7, a), (7, b), (7, b + " end"), (9, c), (2, None), (2, None), (None, c), (None, c), (4, "")]
+    docs = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, row string, d int")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(5, 36, 5), (7, 36, 5), (7, 36, 7), (7, 37, 7), (9, 36, 9), (2, 0, 2), (None, 36, None), (4, 0, 4)}
+    out = minhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([5, 7, 9, 2, 2, None, None, 4], key=str)
 
 
 def test_sample_table(spark):
