@@ -4,36 +4,44 @@ The statistics are counted in whole texts with SQL functions. A document fails t
 words or more than half of its words stand in repeated three-word windows. The others form vectors of transformed
 statistics; for each language and source a minimum-covariance-determinant estimate is made by concentration steps:
 distances from the current estimate, the COVERAGE part of the group with the smallest distances, its mean and
-covariance, and so on. A document is kept if its squared Mahalanobis distance stays within CUTOFF. Groups of fewer
-than LEAST_ROWS use the estimate of their language, and such languages that of all documents.
+covariance, and so on, until the determinant stops falling. Three deterministic starts (medians with least scales,
+medians with median absolute deviations, all rows' mean and covariance) are led to their ends side by side, and the
+estimate of least determinant is kept. A document is kept if its squared Mahalanobis distance stays within a quantile
+of the chi-square distribution. Groups of fewer than LEAST_ROWS use the estimate of their language, and such languages
+that of all documents.
 
-A concentration step is one aggregation to (group, distance bin) with counts and moments, combined before its
+A concentration step is one aggregation to (group, start, distance bin) with counts and moments, combined before its
 shuffle, so neither a hot source nor the number of documents reaches a single task; the bins of a group, not its rows,
-are then summed up to the covered part. Only DataFrame functions are used.
+are then summed up to the covered part. The bin in which it ends counts by the share that is still missing, so exactly
+COVERAGE of a group is covered, also where distances tie. Only DataFrame functions are used.
 
 Defined results: a null or empty text has zeros and fails the base rules; null languages and sources are groups of
-their own; repeated rows repeat their results; missing lang or source columns count as null; other columns are
-ignored by rules() and kept by reject().
+their own; repeated rows repeat their results; missing lang or source columns count as null; where no document passes
+the base rules none is kept; other columns are ignored by rules() and kept by reject().
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, columns_or_null, materialise, release
 
 MIN_WORDS = 50
-#: Part of a group that an estimate covers, and what its covariance is then multiplied by (four normal dimensions).
-COVERAGE, CONSISTENCY = 0.75, 1.486
-STEPS = 4
+#: Part of a group that an estimate covers.
+COVERAGE = 0.75
+#: Steps after which a start is left as it is; the determinant settles well before.
+MOST_STEPS = 20
 LEAST_ROWS = 100
-#: Squared distance up to which documents are kept: six standard deviations in one direction.
-CUTOFF = 36.0
+#: Share of normally distributed documents that the rules may reject.
+TAIL = 3e-7
 #: Least standard deviation of each transformed statistic: most documents have no symbols and no repetition at all.
 #: x3 stays below 0.5 and x4, past the base rules, below 0.36; their floors let either reject a document by itself.
 FLOORS = {"x1": 0.25, "x2": 0.04, "x3": 0.05, "x4": 0.04}
 X = tuple(FLOORS)
+STARTS = 3
 #: Prior counts by which the ratios of short texts are drawn to common values.
 PRIOR_WORDS, PRIOR_LENGTH, PRIOR_LINES = 50.0, 5.0, 5.0
 WHITE = " \t\n\x0b\f\r"
@@ -41,6 +49,25 @@ WHITE = " \t\n\x0b\f\r"
 BROADCAST_GROUPS = 20_000
 
 
+def chi_square(x: float, degrees: int) -> float:
+    """Distribution function for an even number of degrees of freedom."""
+    return 1.0 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+
+
+def chi_square_quantile(share: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < share else (low, middle)
+    return high
+
+
+#: Squared distance up to which documents are kept.
+CUTOFF = chi_square_quantile(1.0 - TAIL, len(X))
+#: What the covariance of the covered part is multiplied by to be that of normal documents.
+CONSISTENCY = COVERAGE / chi_square(chi_square_quantile(COVERAGE, len(X)), len(X) + 2)
+
+
 def words_of(text: Column) -> Column:
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
@@ -84,37 +111,35 @@ def statistics(documents: DataFrame, keep_rows: bool = False) -> DataFrame:
 def _vectors(stats: DataFrame) -> DataFrame:
     n = F.col("n_words") + PRIOR_WORDS
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    null = F.lit("\x00")
-    lang, source = F.coalesce("lang", null), F.coalesce("source", null)
     return (
         stats.withColumn("base_failed", failed)
         .withColumn("x1", (F.col("word_chars") + PRIOR_WORDS * PRIOR_LENGTH) / n)
         .withColumn("x2", F.log1p(F.col("n_symbols") / n))
         .withColumn("x3", F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + PRIOR_LINES)) * 0.5)
         .withColumn("x4", F.sqrt(F.col("n_repeat_words") / n) * 0.5)
-        .withColumn("by_source", F.concat(F.lit("s"), lang, F.lit("\x01"), source))
-        .withColumn("by_lang", F.concat(F.lit("l"), lang))
+        .withColumn("by_source", F.to_json(F.array("lang", "source")))
+        .withColumn("by_lang", F.to_json(F.array("lang")))
     )
 
 
 def _with_estimates(rows: DataFrame, estimates: DataFrame, key: str) -> DataFrame:
     """Estimates are a row for each group: broadcast after counting them, joined by key beyond BROADCAST_GROUPS."""
-    return rows.join(F.broadcast(estimates) if estimates.count() <= BROADCAST_GROUPS else estimates, key)
+    return rows.join(_grouped(estimates), key)
 
 
 def _bin(v: Column, width: float) -> Column:
     return F.floor(v / width).cast("long")
 
 
-def _centres(rows: DataFrame) -> DataFrame:
-    """Coordinate-wise medians of each group, as bin centres."""
+def _medians(rows: DataFrame, prefix: str) -> DataFrame:
+    """g and <prefix><x>: the medians of each group's columns, as centres of bins."""
     width = 0.01
     long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.col(x).alias("v")) for x in X])).alias("e")).select("g", "e.x", _bin(F.col("e.v"), width).alias("bin"))
     counted = long.groupBy("g", "x", "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("g", "x")
     up_to = counted.withColumn("below", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     middle = up_to.where("2 * below >= all").groupBy("g", "x").agg(F.min("bin").alias("bin"))
-    return middle.groupBy("g").agg(*[F.max(F.when(F.col("x") == x, (F.col("bin") + 0.5) * width)).alias(f"m_{x}") for x in X])
+    return middle.groupBy("g").agg(*[F.max(F.when(F.col("x") == x, (F.col("bin") + 0.5) * width)).alias(f"{prefix}{x}") for x in X])
 
 
 def _distance(at: dict[str, Column] | None = None) -> Column:
@@ -139,47 +164,79 @@ def _factor(moments: DataFrame, scale: float) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"c{i}{k}") * F.col(f"c{j}{k}")
             out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"c{j}{j}"))
-    return out.select("g", "n_rows", *[f"m_{x}" for x in X], *[f"c{i}{j}" for i in range(len(X)) for j in range(i + 1)])
+    log_det = sum((2.0 * F.log(f"c{i}{i}") for i in range(1, len(X))), 2.0 * F.log("c00"))
+    return out.select("g", "start", "n_rows", log_det.alias("log_det"), *[f"m_{x}" for x in X], *[f"c{i}{j}" for i in range(len(X)) for j in range(i + 1)])
+
+
+PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
+SUMS = [*[f"s_{x}" for x in X], *[f"q{i}{j}" for i, j in PAIRS]]
+
+
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Count and sums of the columns and their products."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS])
+
+
+def _moments(sums: DataFrame) -> DataFrame:
+    """Means and covariances from (possibly weighted) counts and sums."""
+    mean = lambda x: F.col(f"s_{x}") / F.col("n")
+    return sums.select("g", "start", "n_rows", *[mean(x).alias(f"m_{x}") for x in X], *[(F.col(f"q{i}{j}") / F.col("n") - mean(X[i]) * mean(X[j])).alias(f"v{i}{j}") for i, j in PAIRS])
+
+
+def _starts(fit: DataFrame) -> DataFrame:
+    """The first estimates of every group: see the module."""
+    centres = materialise(_medians(fit, "m_"), "estimates")
+    away = _with_estimates(fit, centres, "g").select("g", *[F.abs(F.col(x) - F.col(f"m_{x}")).alias(x) for x in X])
+    spreads = centres.join(_medians(away, "d_"), "g")
+    diagonal = lambda of: [(of(X[i]) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS]
+    none = F.lit(0).cast("long").alias("n_rows")
+    least = centres.select("g", F.lit(0).alias("start"), none, *[f"m_{x}" for x in X], *diagonal(lambda x: F.lit(0.0)))
+    spread = spreads.select("g", F.lit(1).alias("start"), none, *[f"m_{x}" for x in X], *diagonal(lambda x: (F.col(f"d_{x}") * 1.4826) ** 2))
+    every = _moments(_summed(fit, "g").withColumn("n_rows", F.col("n")).withColumn("start", F.lit(2)))
+    return materialise(_factor(least.unionByName(spread).unionByName(every), 1.0), "estimates")
 
 
 def _concentrate(rows: DataFrame, estimates: DataFrame, scale: float) -> DataFrame:
-    """One step: the estimates of the closest part of each group."""
-    pairs = [(i, j) for i in range(len(X)) for j in range(i + 1)]
-    binned = _with_estimates(rows, estimates, "g").withColumn("bin", _bin(F.log1p(_distance()), 0.02))
-    sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in pairs]]
-    by_bin = binned.groupBy("g", "bin").agg(*sums)
-    w = Window.partitionBy("g")
-    held = by_bin.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(w)).where(F.col("before") < COVERAGE * F.col("all"))
-    total = held.groupBy("g").agg(F.first("all").alias("n_rows"), F.sum("n").alias("n"), *[F.sum(f"s_{x}").alias(f"s_{x}") for x in X], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in pairs])
-    moments = total.select("g", "n_rows", *[(F.col(f"s_{x}") / F.col("n")).alias(f"m_{x}") for x in X], *[(F.col(f"q{i}{j}") / F.col("n") - F.col(f"s_{X[i]}") * F.col(f"s_{X[j]}") / F.col("n") / F.col("n")).alias(f"v{i}{j}") for i, j in pairs])
-    return materialise(_factor(moments, scale), "estimates")
+    """One step: the estimates of the closest part of each group, from each start."""
+    by_bin = _summed(_with_estimates(rows, estimates, "g").withColumn("bin", _bin(F.log1p(_distance()), 0.02)), "g", "start", "bin")
+    w = Window.partitionBy("g", "start")
+    held = by_bin.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(w))
+    share = F.least(F.lit(1.0), (COVERAGE * F.col("all") - F.col("before")) / F.col("n"))
+    held = held.withColumn("share", share).where("share > 0")
+    total = held.groupBy("g", "start").agg(F.first("all").alias("n_rows"), *[F.sum(F.col(c) * F.col("share")).alias(c) for c in ("n", *SUMS)])
+    return materialise(_factor(_moments(total), scale), "estimates")
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """g, n_rows, centre and factor of every source of a language, every language, and all documents."""
     fit = vectors.where("not base_failed").select(F.explode(F.array("by_source", "by_lang", F.lit("*"))).alias("g"), *X)
-    first = _centres(fit).withColumn("n_rows", F.lit(0).cast("long"))
-    for i, x in enumerate(X):
-        for j in range(i + 1):
-            first = first.withColumn(f"c{i}{j}", F.lit(FLOORS[x] if i == j else 0.0))
-    now = materialise(first, "estimates")
-    for step in range(STEPS):
-        after = _concentrate(fit, now, CONSISTENCY if step == STEPS - 1 else 1.0)
+    now = _starts(fit)
+    for step in range(MOST_STEPS):
+        after = _concentrate(fit, now, 1.0)
+        fell = now.select("g", "start", F.col("log_det").alias("was")).join(after.select("g", "start", "log_det"), ["g", "start"]).agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
         release(now)
         now = after
-    return now
+        if step and (fell is None or fell < 1e-3):  # the first step leaves the start's own scale
+            break
+    best = materialise(now.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("b")).select("g", "b.start"), "estimates")
+    last = _concentrate(fit, now.join(_grouped(best), ["g", "start"], "left_semi"), CONSISTENCY)
+    release(now, best)
+    return last
+
+
+def _grouped(estimates: DataFrame) -> DataFrame:
+    return F.broadcast(estimates) if estimates.count() <= BROADCAST_GROUPS else estimates
 
 
 def _chosen(stats: DataFrame) -> DataFrame:
     """by_source with the estimate that its documents are held against."""
     found = estimates(stats)
-    enough = found.where(F.col("n_rows") >= LEAST_ROWS).drop("n_rows")
-    numbers = [c for c in enough.columns if c != "g"]
-    as_level = lambda name: enough.select(F.col("g").alias(name), F.struct(*numbers).alias(f"e_{name}"))
-    every = found.where("g = '*'").select(F.struct(*numbers).alias("e_all"))
-    groups = stats.select("by_source", "by_lang").distinct()
-    chosen = groups.join(as_level("by_source"), "by_source", "left").join(as_level("by_lang"), "by_lang", "left").join(F.broadcast(every), F.lit(True), "left")  # one row at most
-    chosen = materialise(chosen.select("by_source", F.coalesce("e_by_source", "e_by_lang", "e_all").alias("e")).select("by_source", "e.*"), "chosen")
+    numbers = [c for c in found.columns if c not in ("g", "start", "n_rows", "log_det")]
+    level = lambda name, rows: rows.select(F.col("g").alias(name), F.struct(*numbers).alias(f"e_{name}"))
+    enough = found.where(F.col("n_rows") >= LEAST_ROWS)
+    groups = stats.select("by_source", "by_lang", F.lit("*").alias("by_all")).distinct()
+    chosen = groups.join(level("by_source", enough), "by_source", "left").join(level("by_lang", enough), "by_lang", "left").join(level("by_all", found.where("g = '*'")), "by_all", "left")
+    chosen = materialise(chosen.select("by_source", F.coalesce("e_by_source", "e_by_lang", "e_by_all").alias("e")).select("by_source", "e.*"), "chosen")
     release(found)
     return chosen
 
@@ -200,12 +257,8 @@ def rules(documents: DataFrame) -> DataFrame:
 def reject(documents: DataFrame) -> DataFrame:
     """documents that the rules keep; all columns stay.
 
-    Texts are counted again rather than shuffled to meet their verdicts, so null and repeated doc_ids need no care.
+    Texts are counted once: the rows are written next to their statistics, so null and repeated doc_ids need no care,
+    and the estimates read the statistics alone.
     """
-    stats = materialise(_vectors(statistics(documents)), "statistics")
-    chosen = _chosen(stats)
-    release(stats)
-    again = _vectors(statistics(documents, keep_rows=True))
-    # A generator keeps the filter from being moved below it, where it would repeat the counting in every term.
-    counted = F.explode(F.array(F.struct("by_source", "base_failed", *X))).alias("counted")
-    return _judged(again.select("row", counted).select("row", "counted.*"), chosen).where("kept").select("row.*")
+    stats = materialise(_vectors(statistics(documents, keep_rows=True)), "statistics")
+    return _judged(stats.select("row", "by_source", "base_failed", *X), _chosen(stats)).where("kept").select("row.*")

@@ -1,6 +1,10 @@
+import math
 import random
 import re
 
+import numpy as np
+import pytest
+
 from tessera.llm import quality_rules as q
 
 
@@ -46,7 +50,8 @@ def test_outliers_go_and_clean_documents_stay(spark):
 def test_empty_tables(spark):
     assert q.rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = spark.createDataFrame([(1, "few words")], "doc_id long, text string")
-    assert [tuple(r)[:8] for r in q.rules(only).collect()] in ([], [(1, 2, 8, 0, 0, 0, True, False)])
+    assert [tuple(r) for r in q.rules(only).collect()] == [(1, 2, 8, 0, 0, 0, True, False, None)]
+    assert q.reject(only).count() == 0
 
 
 def test_repetition_alone_rejects(spark):
@@ -63,3 +68,82 @@ def test_repetition_alone_rejects(spark):
     assert not rows[300].base_failed and rows[300].n_dup_lines == 54 and 40 * 230 <= 100 * rows[300].n_repeat_words <= 50 * 230
     assert not rows[301].base_failed and 40 * 195 <= 100 * rows[301].n_repeat_words <= 50 * 195
     assert not rows[300].kept and not rows[301].kept
+
+
+def vector(text):
+    n, chars, symbols, lines, repeated, _ = brute(text)
+    all_lines = len([x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)])
+    return [(chars + 250.0) / (n + 50), math.log1p(symbols / (n + 50)), 0.5 * math.sqrt(lines / (all_lines + 5)), 0.5 * math.sqrt(repeated / (n + 50))]
+
+
+def middle(v):
+    bins = sorted(np.floor(v / 0.01))
+    return (bins[-(-len(bins) // 2) - 1] + 0.5) * 0.01
+
+
+def distances(x, centre, cov):
+    away = x - centre
+    return np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away)
+
+
+def concentrated(x, centre, cov, scale):
+    """Mean and covariance of the closest 75 %, rows of the bin in which they end by the share that is missing."""
+    bins = np.floor(np.log1p(distances(x, centre, cov)) / 0.02)
+    weight, left = np.zeros(len(x)), 0.75 * len(x)
+    for b in np.unique(bins):
+        mine = bins == b
+        weight[mine] = max(0.0, min(1.0, left / mine.sum()))
+        left -= mine.sum()
+    centre = np.average(x, axis=0, weights=weight)
+    return centre, np.cov(x.T, aweights=weight, ddof=0) * scale + floors()
+
+
+def floors():
+    return np.diag([f * f for f in q.FLOORS.values()])
+
+
+def estimate(x):
+    medians = np.array([middle(c) for c in x.T])
+    spread = np.diag([(1.4826 * middle(np.abs(c - m))) ** 2 for c, m in zip(x.T, medians, strict=True)])
+    ends = []
+    for centre, cov in ((medians, floors()), (medians, spread + floors()), (x.mean(0), np.cov(x.T, ddof=0) + floors())):
+        for _ in range(q.MOST_STEPS):
+            centre, cov = concentrated(x, centre, cov, 1.0)
+        ends.append((np.linalg.slogdet(cov)[1], centre, cov))
+    return concentrated(x, *min(ends, key=lambda e: e[0])[1:], 1.486)
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_verdicts_equal_brute_force(spark, monkeypatch, broadcast):
+    """Groups of two populations, small groups that fall back to their language, and one that falls back to all."""
+    monkeypatch.setattr(q, "BROADCAST_GROUPS", broadcast)
+    rng = random.Random(4)
+
+    def text(length, symbols, repeat):
+        words = ["".join(rng.choice("abcdeilmnorst") for _ in range(max(1, int(rng.gauss(length, 1))))) for _ in range(rng.randrange(60, 200))]
+        words = [w + "#" if rng.random() < symbols else w for w in words]
+        lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        return "\n".join(lines + lines[: int(repeat * len(lines))])
+
+    rows = []
+    for lang, source, n in (("en", "a", 260), ("en", "b", 40), (None, "a", 150), ("xx", "", 20), ("xx", None, 130)):
+        for k in range(n):
+            kind = rng.random()
+            rows.append((len(rows), text(5, 0.01, 0) if kind < 0.6 else text(7, 0.1, 0.05) if kind < 0.9 else text(rng.choice([3, 12]), rng.random(), 0.3), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in q.rules(docs).collect()}
+    open_rows = [r for r in rows if not brute(r[1])[5]]
+    x = {r[0]: vector(r[1]) for r in open_rows}
+    groups = lambda key: {k: np.array([x[r[0]] for r in open_rows if key(r) == k]) for k in {key(r) for r in open_rows}}
+    by_source, by_lang, every = groups(lambda r: r[2:]), groups(lambda r: r[2]), np.array(list(x.values()))
+    done = {}
+    for doc, _, lang, source in open_rows:
+        key = (lang, source) if len(by_source[lang, source]) >= 100 else (lang,) if len(by_lang[lang]) >= 100 else ()
+        if key not in done:
+            done[key] = estimate(by_source[key] if len(key) == 2 else by_lang[lang] if key else every)
+        want = distances(np.array([x[doc]]), *done[key])[0]
+        assert got[doc].distance == pytest.approx(want, rel=2e-2, abs=1e-6)
+        if abs(want - q.CUTOFF) > 0.03 * q.CUTOFF:
+            assert got[doc].kept == (want <= q.CUTOFF)
+    assert all(not got[r[0]].kept and got[r[0]].distance is None for r in rows if r[0] not in x)
+    assert q.CUTOFF == pytest.approx(36, abs=0.2) and q.CONSISTENCY == pytest.approx(1.486, abs=1e-3)
