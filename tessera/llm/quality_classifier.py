@@ -129,6 +129,19 @@ class Model:
         return _sigmoid(self.network((np.array(rows) - self.mean) / self.scale))
 
 
+def pulls(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Derivatives by the outputs of positives and unlabelled, and whether the negatives' part of the risk is positive.
+
+    Logistic loss: positives as 1 and, subtracted, as 0; unlabelled as 0. Where the negatives' part falls below zero,
+    training steps back along it instead.
+    """
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    negative_risk = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
+    if negative_risk >= 0:
+        return prior * (sp - 1) / len(zp) - prior * sp / len(zp), su / len(zu), True
+    return prior * sp / len(zp), -su / len(zu), False
+
+
 def train(positives: list[str], unlabelled: list[str], seed: int = 1) -> Model:
     if not positives or not unlabelled:
         return Model(None, np.zeros(1), np.ones(1), 0.5)
@@ -142,13 +155,7 @@ def train(positives: list[str], unlabelled: list[str], seed: int = 1) -> Model:
     for i, j in _epochs(len(p), len(u), rng, EPOCHS):
         if not len(i) or not len(j):
             continue
-        sp, su = _sigmoid(net(p[i])), _sigmoid(net(u[j]))
-        # logistic loss: positives as 1, as 0, unlabelled as 0
-        negative_risk = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-        if negative_risk >= 0:
-            pull_p, pull_u = prior * (sp - 1) / len(i) - prior * sp / len(i), su / len(j)
-        else:  # the risk would fall below zero: step back along it instead
-            pull_p, pull_u = prior * sp / len(i), -su / len(j)
+        pull_p, pull_u, _ = pulls(net(p[i]), net(u[j]), prior)
         net.step(np.concatenate([p[i], u[j]]), np.concatenate([pull_p, pull_u]))
     return Model(net, mean, scale, prior)
 

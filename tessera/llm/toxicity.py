@@ -3,7 +3,7 @@
 A word's vector is the mean of the vectors of its character n-grams and of itself, hashed into one table, so unseen
 misspellings share most of a known word's vectors. The vectors of SEGMENT consecutive words are averaged into a
 linear softmax. A document is toxic if one of its segments is (noisy or), so a few words count in a long text as they
-do in a short one. Embeddings and softmax are trained jointly, with Adagrad in numpy, on at most PER_CLASS labelled
+do in a short one; bags are short, as the words around a toxic one would else weigh against it. Embeddings and softmax are trained jointly, with Adagrad in numpy, on at most PER_CLASS labelled
 documents of each class; every whole text is scored, without a shuffle.
 
 Because the layers above the embeddings are linear, a word comes down to one number, the softmax's log-odds of its
@@ -33,7 +33,8 @@ from .shingles import _STEP, mix
 PER_CLASS = 3000
 BUCKETS, DIMENSIONS = 1 << 17, 8
 GRAMS = (3, 4, 5, 6)
-SEGMENT = 6
+#: Words in a bag, and what a toxic document counts against a clean one (there are some eight clean ones for each).
+SEGMENT, TOXIC_WEIGHT = 2, 4.0
 EPOCHS, BATCH, RATE, START_BIAS = 6, 32, 0.5, -4.0
 #: Steps that training takes at least, however few rows there are.
 LEAST_STEPS = 400
@@ -131,7 +132,7 @@ def train(rows: list[tuple[str, int]], seed: int = 1) -> Model:
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             clean = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), len(batch)))
             toxic = np.maximum(1 - clean, 1e-6)
-            pull = np.where(labels[batch] == 1, -clean / toxic, 1.0)
+            pull = np.where(labels[batch] == 1, -TOXIC_WEIGHT * clean / toxic, 1.0)
             g = p * pull[owner]  # of the loss by each segment's log-odds
             gw = np.stack([-(g @ mean), g @ mean], axis=1)
             gb = np.array([-g.sum(), g.sum()])
