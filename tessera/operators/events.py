@@ -42,14 +42,29 @@ def unclaimed(batches: DataFrame, claims: DataFrame, keys: list[str]) -> DataFra
 def within_ttl_dedup(df: DataFrame, keys: list[str], at_ms: str, ttl_ms: int, tie: str) -> DataFrame:
     """Drop a repeat that comes within ttl_ms of the row that was last let through; hits do not extend it.
 
-    The row let through last depends on all rows before, so each key is scanned in order; a key's times and ties alone
-    travel, as one sorted array.
+    The row let through last depends on all rows before, so each key is scanned in order: keys, times and ties alone
+    travel, sorted, and a task remembers one key and one time, however long a key's history is. There is no bound on
+    the number of keys that are remembered, as there would be in a cache.
     """
-    seen = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at_ms, tie))).alias("_s"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(df.dtypes)[tie]}>").alias("kept"))
-    step = lambda acc, x: F.when(acc["last"].isNull() | (x[at_ms] - acc["last"] > ttl_ms), F.struct(x[at_ms].cast("long").alias("last"), F.concat(acc["kept"], F.array(x[tie])).alias("kept"))).otherwise(acc)
-    kept = seen.select(*keys, F.explode(F.aggregate("_s", start, step, lambda acc: acc["kept"])).alias(tie))
-    return df.join(kept, [*keys, tie], "left_semi")
+    narrow = df.select(*keys, at_ms, tie)
+    ordered = narrow.repartition(*keys).sortWithinPartitions(*keys, at_ms, tie)
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        now, last = None, 0
+        for pdf in frames:
+            passes = []
+            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
+                key, at = row[:-2], row[-2]
+                if key != now or at - last > ttl_ms:
+                    now, last = key, at
+                    passes.append(True)
+                else:
+                    passes.append(False)
+            yield pdf[passes]
+
+    kept = ordered.mapInPandas(run, narrow.schema).select(*keys, tie)
+    same = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in [*keys, tie]]
+    return df.alias("l").join(kept.alias("r"), same, "left_semi")
 
 
 def high_water(events: DataFrame, keys: list[str], columns: Iterable[str]) -> DataFrame:
@@ -62,23 +77,26 @@ def retained(df: DataFrame, at_ms: Column, now_ms: int, days: int) -> DataFrame:
     return df.where(at_ms > now_ms - days * 86_400_000)
 
 
+#: States from which a node may be cancelled.
+OPEN = ("queued", "running", "deferred")
 #: Events that need a running node; the others are applied in any state.
 GATED = frozenset({"TASK_ACCEPTED", "TASK_HEARTBEAT", "BATCH_OK", "BATCH_FAILED", "TASK_DONE"})
 
-FOLDED = "task_id string, node_id string, status string, epoch int, worker_id string, lease_deadline_ms long, last_event_ms long, batches_ok long, batches_failed long, next_retry_ms long, task_failed boolean"
+FOLDED = "task_id string, node_id string, status string, epoch int, worker_id string, lease_deadline_ms long, last_event_ms long, batches_ok long, batches_failed long, next_retry_ms long, task_failed boolean, failed_ms long, failed_seq long"
 
 
 def fold_state(events: DataFrame, backoff_sec: int = 300) -> DataFrame:
     """Exact fold of each node's events in arrival order (recv_ts_ms, seq).
 
     Columns: task_id, node_id, kind, epoch, recv_ts_ms, seq, worker_id, deadline_ms, batch_uid, permanent. A
-    TASK_START sets a running node of its epoch; events of another epoch are fenced off; GATED kinds need a running
-    node, so a batch after the end is dropped. Whether an event counts depends on the state at its arrival, which a
+    TASK_START sets a running node of its epoch; TASK_CANCEL, which the coordinator itself writes, makes an open node
+    cancelling in any epoch; events of another epoch are fenced off; GATED kinds need a running node, so a batch after
+    the end is dropped. failed_ms and failed_seq place the first permanent failure. Whether an event counts depends on the state at its arrival, which a
     column expression can't hold, so a node's events are folded as one group.
     """
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        status, epoch, worker, deadline, last, retry, failed = "queued", 0, None, None, None, None, False
+        status, epoch, worker, deadline, last, retry, failed = "queued", 0, None, None, None, None, None
         ok: set = set()
         bad: set = set()
         for e in pdf.sort_values(["recv_ts_ms", "seq"]).itertuples():
@@ -86,6 +104,9 @@ def fold_state(events: DataFrame, backoff_sec: int = 300) -> DataFrame:
                 if status in ("queued", "deferred") and e.epoch == epoch + 1:
                     status, epoch, retry = "running", int(e.epoch), None
                 continue
+            if e.kind == "TASK_CANCEL":
+                status = "cancelling" if status in OPEN else status
+                continue
             if e.epoch != epoch or (e.kind in GATED and status != "running"):
                 continue
             last = int(e.recv_ts_ms) if last is None else max(last, int(e.recv_ts_ms))
@@ -99,12 +120,31 @@ def fold_state(events: DataFrame, backoff_sec: int = 300) -> DataFrame:
             elif e.kind == "TASK_DONE":
                 status = "finished"
             elif e.kind == "TASK_FAILED" and e.permanent:
-                failed = True
-                status = "cancelling" if status in ("queued", "running", "deferred") else status
+                failed = failed or (int(e.recv_ts_ms), int(e.seq))
+                status = "cancelling" if status in OPEN else status
             elif e.kind == "TASK_FAILED":
                 status, retry = "deferred", int(e.recv_ts_ms) + backoff_sec * 1000
             elif e.kind == "CANCELLED":
                 status = "deferred"
-        return pd.DataFrame([[*key, status, epoch, worker, deadline, last, len(ok), len(bad), retry, failed]], columns=[c.split()[0] for c in FOLDED.split(", ")])
+        return pd.DataFrame([[*key, status, epoch, worker, deadline, last, len(ok), len(bad), retry, failed is not None, *(failed or (None, None))]], columns=[c.split()[0] for c in FOLDED.split(", ")])
 
     return events.groupBy("task_id", "node_id").applyInPandas(fold, FOLDED)
+
+
+def with_cascade(events: DataFrame, backoff_sec: int = 300) -> DataFrame:
+    """events and, for every node of a task, a TASK_CANCEL where the task's first permanent failure takes effect.
+
+    Whether a failure is the first is known from the nodes' own folds: what cancels other nodes can only be an earlier
+    one. So two folds by node are exact, and no task's nodes have to meet.
+    """
+    alone = fold_state(events, backoff_sec).where("task_failed")
+    stop = alone.groupBy("task_id").agg(F.min(F.struct("failed_ms", "failed_seq")).alias("_s"))
+    nodes = events.select("task_id", "node_id").distinct().join(stop, "task_id")
+    none = lambda c: F.lit(None).cast(dict(events.dtypes)[c]).alias(c)
+    given = {"task_id": F.col("task_id"), "node_id": F.col("node_id"), "kind": F.lit("TASK_CANCEL"), "recv_ts_ms": F.col("_s.failed_ms"), "seq": F.col("_s.failed_seq")}
+    return events.union(nodes.select(*[given[c].alias(c) if c in given else none(c) for c in events.columns]))
+
+
+def failed_tasks(folded: DataFrame) -> DataFrame:
+    """task_id, failed: whether a permanent failure of any of its nodes has ended the task."""
+    return folded.groupBy("task_id").agg(F.bool_or("task_failed").alias("failed"))

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import required_count
 
-NODES = "task_id string, node_id string, type string, depends_on array<string>, fan_in string, start_when string, status string, attempt_epoch int, next_retry_ms long"
+NODES = "task_id string, node_id string, type string, depends_on array<string>, from_nodes array<string>, fan_in string, start_when string, status string, attempt_epoch int, next_retry_ms long, backoff_sec int, fn string, lease_worker string, last_event_ms long, started_on_first_batch boolean"
 EDGES = "task_id string, src string, dst string, mode string, trigger string"
 OPEN = ("queued", "running", "deferred")
 
 
 def to_tables(spark: SparkSession, task_id: str, graph: dict) -> tuple[DataFrame, DataFrame]:
     """A graph document's nodes and edges (plain and extended) as tables."""
-    nodes = [(task_id, n["node_id"], n.get("type"), list(n.get("depends_on") or []), n.get("fan_in") or "all", (n.get("io") or {}).get("start_when"), n.get("status") or "queued", int(n.get("attempt_epoch") or 0), n.get("next_retry_ms")) for n in graph.get("nodes") or []]
+    nodes = []
+    for n in graph.get("nodes") or []:
+        io = n.get("io") or {}
+        sources = ((io.get("input_inline") or {}).get("input_args") or {}).get("from_nodes")
+        deps, epoch = list(n.get("depends_on") or []), int(n.get("attempt_epoch") or 0)
+        nodes.append((task_id, n["node_id"], n.get("type"), deps, sources, n.get("fan_in") or "all", io.get("start_when"), n.get("status") or "queued", epoch, n.get("next_retry_ms"), (n.get("retry_policy") or {}).get("backoff_sec"), io.get("fn"), (n.get("lease") or {}).get("worker_id"), n.get("last_event_ms"), (n.get("streaming") or {}).get("started_on_first_batch")))
     known = [n[1] for n in nodes]
     if len(set(known)) != len(known):
         raise ValueError("node ids must be unique in a graph")
@@ -50,11 +55,15 @@ def first_batch_available(consumers: DataFrame, artifacts: DataFrame, keys: list
 
 
 def ready(nodes: DataFrame, artifacts: DataFrame, now_ms: int) -> DataFrame:
-    """Nodes that may start: queued, or deferred with their retry due; first_batch nodes by artifacts alone."""
+    """Nodes that may start: queued, or deferred with their retry due; first_batch nodes by artifacts alone.
+
+    A first_batch node looks at the sources of its input, where it names any, else at its dependencies.
+    """
     due = (F.col("status") == "queued") | ((F.col("status") == "deferred") & (F.coalesce("next_retry_ms", F.lit(0)) <= now_ms))
     open_nodes = nodes.where(due)
-    waiting = F.col("start_when") == "first_batch"
-    early = open_nodes.where(waiting).select("task_id", "node_id", F.explode("depends_on").alias("dep"))
+    waiting = F.lower("start_when") == "first_batch"
+    sources = F.when(F.size("from_nodes") > 0, F.col("from_nodes")).otherwise(F.col("depends_on"))
+    early = open_nodes.where(waiting).select("task_id", "node_id", F.explode(sources).alias("dep"))
     started = artifacts.where(F.col("status").isin("partial", "complete")).select("task_id", F.col("node_id").alias("dep"))
     by_batch = early.join(started, ["task_id", "dep"], "left_semi").select("task_id", "node_id").distinct()
     rules = fan_in(dependency_states(nodes), ["task_id", "node_id"], F.col("fan_in")).where("ready")
@@ -67,6 +76,18 @@ def children(edges: DataFrame, extended: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(extended.select("src", "dst")).distinct()
 
 
+def ordered_children(edges: DataFrame, extended: DataFrame, at: str) -> DataFrame:
+    """src, children: distinct children in the order of at, plain edges before extended ones."""
+    both = edges.select("src", "dst", F.lit(0).alias("_kind"), F.col(at).alias("_at")).union(extended.select("src", "dst", F.lit(1).alias("_kind"), F.col(at).alias("_at")))
+    first = both.groupBy("src", "dst").agg(F.min(F.struct("_kind", "_at")).alias("_first"))
+    return first.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", "dst"))), lambda x: x["dst"]).alias("children"))
+
+
+def distinct_in_order(items: Column) -> Column:
+    """An array without repeats; each item stays where it was first."""
+    return F.array_distinct(items)
+
+
 def starts_on_batch(extended: DataFrame) -> DataFrame:
     """(src, dst) pairs with an asynchronous edge that fires on a batch."""
     return extended.where((F.col("mode") == "async") & (F.col("trigger") == "on_batch")).select("src", "dst").distinct()

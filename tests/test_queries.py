@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from tessera.plans import bindings
+from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,11 +33,11 @@ def rows(frame):
     return names, sorted(str(tuple(map(plain, r))) for r in frame[names].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(bindings.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
-    assert rows(bindings.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(bindings.ORACLES[name]).fetchdf())
+    assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(registry.ORACLES[name]).fetchdf())
 
 
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(bindings.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
