@@ -108,6 +108,15 @@ def epoch_ms(ts: Column | str) -> Column:
     return ((days * 86400 + clock) * 1000 + F.floor(F.extract(F.lit("SECOND"), t) * 1000)).cast("long")
 
 
+def iso_ms(ms: Column | str) -> Column:
+    """Milliseconds since 1970 as ISO 8601 in UTC, with milliseconds."""
+    m = F.col(ms) if isinstance(ms, str) else ms
+    day, clock = F.floor(m / 86_400_000).cast("int"), F.pmod(m, F.lit(86_400_000))
+    two = lambda v: F.lpad(F.floor(v).cast("string"), 2, "0")
+    time = F.concat(two(clock / 3_600_000), F.lit(":"), two(F.pmod(clock, F.lit(3_600_000)) / 60_000), F.lit(":"), two(F.pmod(clock, F.lit(60_000)) / 1000), F.lit("."), F.lpad(F.pmod(clock, F.lit(1000)).cast("string"), 3, "0"))
+    return F.concat(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd"), F.lit("T"), time, F.lit("Z"))
+
+
 def time_bucket(ms: Column, seconds: int) -> Column:
     return F.floor(ms / (seconds * 1000)).cast("long")
 

@@ -44,6 +44,55 @@ def may_start(last_event_ms: Column, status: Column, now_ms: int, window_sec: in
 
 
 def replies_in_window(requests: DataFrame, replies: DataFrame, window_ms: int) -> DataFrame:
-    """Replies matched to requests by corr_id within a time window; as streams with watermarks it is an interval join."""
-    q = requests.select("corr_id", F.col("ts_ms").alias("asked_ms"))
-    return q.join(replies, "corr_id").where((F.col("ts_ms") >= F.col("asked_ms")) & (F.col("ts_ms") <= F.col("asked_ms") + window_ms))
+    """Replies matched to requests by corr_id within a time window; as streams with watermarks it is an interval join.
+
+    Time is cut into pieces of the window's length and a request asks in two of them, so a corr_id with a long history
+    meets only what is near, in as many tasks as it has pieces.
+    """
+    piece = lambda c: F.floor(F.col(c) / max(1, window_ms)).cast("long")
+    q = requests.withColumnRenamed("ts_ms", "asked_ms").withColumn("_piece", F.explode(F.array_distinct(F.array(piece("asked_ms"), piece("asked_ms") + 1))))
+    r = replies.withColumn("_piece", piece("ts_ms"))
+    return q.join(r, ["corr_id", "_piece"]).where((F.col("ts_ms") >= F.col("asked_ms")) & (F.col("ts_ms") <= F.col("asked_ms") + window_ms)).drop("_piece")
+
+
+def monitored(tasks: DataFrame, now_ms: int, soft_sec: int = 300, hard_sec: int = 3600) -> DataFrame:
+    """Running and deferred tasks with the state that a heartbeat monitor gives them: dead ones fail, suspected ones retry in a minute."""
+    state = liveness(F.coalesce("last_event_recv_ms", F.lit(0)), now_ms, soft_sec, hard_sec)
+    watched = F.col("status").isin("running", "deferred")
+    rows = tasks.withColumn("liveness", F.when(watched, state))
+    status = F.when(F.col("liveness") == "dead", "failed").when(F.col("liveness") == "suspected", "deferred").otherwise(F.col("status"))
+    return rows.withColumn("new_status", status).withColumn("new_retry_ms", F.when(F.col("liveness") == "suspected", F.lit(now_ms + 60_000).cast("long")))
+
+
+def heartbeats(runs: DataFrame, interval_ms: int, lease_ttl_ms: int) -> DataFrame:
+    """The heartbeats of runs (worker_id, task_id, node_id, attempt_epoch, started_ms, ended_ms): one each interval.
+
+    ts_ms, lease_deadline_ms, and a dedup_id that is the same for all heartbeats of a run within one interval.
+    """
+    at = F.explode(F.sequence("started_ms", F.col("ended_ms") - 1, F.lit(interval_ms).cast("long")))
+    rows = runs.where(F.col("ended_ms") > F.col("started_ms")).withColumn("ts_ms", at)
+    bucket = F.floor(F.col("ts_ms") / max(1, interval_ms)).cast("long")
+    return rows.withColumn("lease_deadline_ms", F.col("ts_ms") + lease_ttl_ms).withColumn("dedup_id", stable_id(F.lit("hb"), "task_id", "node_id", "attempt_epoch", bucket))
+
+
+def accepted_starts(commands: DataFrame, run_ms: str) -> DataFrame:
+    """Start commands that a worker with room for one run takes; those that come while it is busy are dropped.
+
+    commands: worker_id, ts_ms, seq and the length of the run. Which one is taken depends on all before, so a worker's
+    commands are passed in order, by a task that remembers the end of one run.
+    """
+    rows = commands.repartition("worker_id").sortWithinPartitions("worker_id", "ts_ms", "seq")
+
+    def run(frames):
+        worker, free = None, 0
+        for pdf in frames:
+            taken = []
+            for w, at, length in zip(pdf["worker_id"], pdf["ts_ms"], pdf[run_ms], strict=True):
+                if w != worker:
+                    worker, free = w, at
+                taken.append(at >= free)
+                if taken[-1]:
+                    free = at + length
+            yield pdf[taken]
+
+    return rows.mapInPandas(run, rows.schema)

@@ -194,9 +194,7 @@ def j8_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _event_ms(spark, sf_dir)
     asked = rows.where("event_type = 'click'").select(F.col("user_id").alias("corr_id"), "ts_ms", F.col("event_id").alias("asked_id"))
     replies = rows.where("event_type = 'view'").select(F.col("user_id").alias("corr_id"), "ts_ms", F.col("event_id").alias("reply_id"))
-    met = reliability.replies_in_window(asked.select("corr_id", "ts_ms").distinct(), replies, 3_600_000)
-    joined = met.join(asked.select("corr_id", F.col("ts_ms").alias("asked_ms"), "asked_id"), ["corr_id", "asked_ms"])
-    return joined.select(F.col("asked_id").alias("corr_id"), "reply_id")
+    return reliability.replies_in_window(asked, replies, 3_600_000).select(F.col("asked_id").alias("corr_id"), "reply_id")
 
 
 @query("""
@@ -341,8 +339,7 @@ def k12_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k1_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.struct(*_ORDER)
     rows = scan(spark, sf_dir, "lineitem").select(F.lit("t").alias("task_id"), F.col("l_orderkey").alias("node_id"), F.col("l_linenumber").alias("batch_uid"), F.col("l_suppkey").alias("worker_id"), F.col("l_returnflag").alias("status"), F.lit(1).alias("meta"), seq.alias("seq"))
-    writes = rows.groupBy("node_id", "batch_uid").agg(F.count("*").alias("n"))
-    return artifacts.upserted(rows).join(writes, ["node_id", "batch_uid"]).select("node_id", "batch_uid", F.col("worker_id").alias("first_worker"), "status", "n")
+    return artifacts.upserted(rows).select("node_id", "batch_uid", F.col("worker_id").alias("first_worker"), "status", F.col("writes").alias("n"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -354,7 +351,7 @@ def t7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan(spark, sf_dir, "events", columns=["event_id", "user_id", "event_type", "ts"])
     rows.union(rows).write.parquet(f"{place}/in")
     stream = status.read_events(spark, f"{place}/in", rows.schema)
-    status.drain(status.first_wins_stream(stream, ["event_id"], delay="36500 days"), f"{place}/checkpoint", f"{place}/out")
+    status.drain(status.first_wins_stream(stream, ["event_id"], delay="1 day"), f"{place}/checkpoint", f"{place}/out")
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{place}/out")
 
 

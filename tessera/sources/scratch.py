@@ -10,8 +10,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A folder below spark.checkpoint.dir (a local one where that is unset), removed when the process ends."""
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/tessera-shared').rstrip('/')}/{name}"
+    """A folder below spark.checkpoint.dir (a local one where that is unset and Spark is local), removed at the end."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file:///tmp/tessera-shared"
+    path = f"{shared.rstrip('/')}/{name}"
     _made.append((spark, path))
     return path
 

@@ -45,7 +45,52 @@ def routed(envelopes: DataFrame, msg_type: str, role: str | None = None, step_ty
     return out
 
 
-def kafka_events(spark: SparkSession, servers: str, topics: str) -> DataFrame:
+def count_where(df: DataFrame, predicate: Column | str, keys: list[str] | None = None) -> DataFrame:
+    """Number of rows that meet a predicate, as n, in all or by keys (0 for keys whose rows do not)."""
+    met = F.count_if(F.expr(predicate) if isinstance(predicate, str) else predicate).alias("n")
+    return df.groupBy(*keys).agg(met) if keys else df.agg(met)
+
+
+def is_absent(field: str, present: str) -> Column:
+    """Whether a document lacks a field; present holds the names of the fields it has, since a null is a value."""
+    return ~F.coalesce(F.array_contains(present, F.lit(field)), F.lit(False))
+
+
+def signals_for(envelopes: DataFrame, worker_id: Column | str, signal: str = "CANCEL") -> DataFrame:
+    """Signals of a kind that are addressed to nobody in particular or to the worker in the row."""
+    me = F.col(worker_id) if isinstance(worker_id, str) else worker_id
+    addressed = F.col("target_worker_id").isNull() | (F.col("target_worker_id") == me)
+    return envelopes.where(addressed & (F.get_json_object("payload", "$.sig") == signal))
+
+
+def to_envelopes(rows: DataFrame) -> DataFrame:
+    """Envelope columns to one JSON text each (column value); fields without a value are left out."""
+    names = [f.split()[0] for f in ENVELOPE.split(", ")]
+    return rows.select(F.to_json(F.struct(*[F.col(c) for c in names if c in rows.columns])).alias("value"))
+
+
+def json_events(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
+    """Status events from text files of JSON lines in a folder, as a stream: the source where there is no broker."""
+    return parse_envelopes(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
+
+
+def kafka_options(servers: str, topics: str, group: str | None = None, start: str = "latest") -> dict[str, str]:
+    """Reader options: a topic pattern, a consumer group (Spark keeps offsets in the checkpoint, not in the group), the start."""
+    out = {"kafka.bootstrap.servers": servers, "subscribePattern": topics, "startingOffsets": start}
+    return out | ({"kafka.group.id": group} if group else {})
+
+
+def kafka_events(spark: SparkSession, servers: str, topics: str, group: str | None = None, start: str = "latest") -> DataFrame:
     """Status events from Kafka, from the latest offsets on. Needs Spark's Kafka package, so no test runs it here."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribePattern", topics).option("startingOffsets", "latest").load()
+    raw = spark.readStream.format("kafka").options(**kafka_options(servers, topics, group, start)).load()
     return parse_envelopes(raw.select(F.col("value").cast("string").alias("value")))
+
+
+def kafka_rows(outbox: DataFrame) -> DataFrame:
+    """Outbox rows as Kafka's writer takes them: topic, key and value; its producer is idempotent by default."""
+    return outbox.select("topic", F.col("key").cast("binary").alias("key"), F.col("envelope").cast("binary").alias("value"))
+
+
+def kafka_sink(outbox: DataFrame, servers: str) -> None:
+    """Write outbox rows to Kafka. Needs Spark's Kafka package, so no test runs it here."""
+    kafka_rows(outbox).write.format("kafka").option("kafka.bootstrap.servers", servers).save()
