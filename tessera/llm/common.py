@@ -28,8 +28,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or, if Spark is local, a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (shared or LOCAL_SHARED).rstrip("/")
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -84,8 +87,23 @@ def columns_or_null(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
 
 
+#: Most rows, and about the most bytes, of what a function of map_arrow() is given at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow with small batches. Spark's own, of 64 MB by default, are cut here, so no setting of the session changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                step = max(1, min(BATCH_ROWS, int(b.num_rows * BATCH_BYTES / max(1, b.nbytes))))
+                for a in range(0, max(1, b.num_rows), step):
+                    yield b.slice(a, step)
+
+        return fn(cut())
+
+    return df.mapInArrow(run, schema)
 
 
 #: A slice of an Arrow batch handed to vector code holds at most so many bytes of text (one longer text comes alone).
@@ -110,20 +128,10 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
 
 
 def text_input(df: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (and named further columns) alone, in Arrow batches of at most 64 rows times partition.
-
-    The batch size is a setting of the session: 100,000-byte texts in the default 10,000 rows would be a gigabyte.
-    """
-    small_batches(df.sparkSession)
+    """doc_id and text (and named further columns) alone."""
     return df.select("doc_id", "text", *more)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small; texts are long and a batch is held whole in memory on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def apart(key: str) -> Column:
     """A join key (of a long) that an aggregation by the same column is not already dealt by.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_or_null, small_batches
+from .common import columns_or_null
 
 
 def held_out(doc_id: Column) -> Column:
@@ -27,7 +27,6 @@ def _texts_of(documents: DataFrame, ids: DataFrame, *more: str) -> list[dict]:
     Rows of one id count once, with the least text by hash; sizes are read first, so that texts beyond the bound never
     leave the executors.
     """
-    small_batches(documents.sparkSession)
     docs = columns_or_null(documents, {"doc_id": "long", "text": "string"}).join(F.broadcast(ids), "doc_id")
     least = F.struct(F.xxhash64("text").alias("h"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
     sizes = docs.groupBy("doc_id").agg(F.min(least).alias("t")).select("doc_id", "t.*").orderBy(*_order()).collect()  # a row an id

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import map_arrow, materialise, scratch_path, small_batches, text_input
+from .common import map_arrow, materialise, scratch_path, text_input
 
 MAGIC = b"TSPFOR1\n"
 BLOCK = 256
@@ -276,5 +276,4 @@ def _read_rows(docs: list, starts: list, sizes: list, sums: list) -> pa.RecordBa
 def written_and_read(documents: DataFrame, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
     """Write all documents' ids to new files in the shared store and read them back."""
     spark = documents.sparkSession
-    small_batches(spark)
     return read_ids(spark, write_ids(documents, scratch_path(spark, "ids"), end_id, vocabulary))
