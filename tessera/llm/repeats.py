@@ -1,26 +1,28 @@
 """Exact removal of repeated byte strings (operator 9), by bucket-pointer refinement over sampled suffixes.
 
-Suffixes start in buckets by their first Q bytes. A bucket is refined by the bucket identifiers of later offsets:
-the identifier at depth 2h is made of those at depth h at the suffix and h bytes on, and each refinement uses the
-identifiers that the one before has updated, so three of them lead from Q = 25 bytes to DEPTH = 200. Identifiers are
-names made from content rather than ranks; equal strings get equal names in every task, so each refinement is
-computed where the text is, and only what sorting on the identifiers has to bring together is shuffled:
-
-1. Within a text the identifiers at full depth are sorted, which finds the strings that the text itself repeats.
-2. Across texts suffixes are sampled: a 200-byte window is led by the smallest identifier at depth 50 inside it. Equal
-   windows have equal leaders, and neighbouring windows share one, so a text becomes runs of windows, a few for a
-   hundred bytes. Runs whose leader occurs once hold no repeated string and are dropped.
-3. Runs of equal content repeat each other whole. Only where runs with the same leader differ (at the ends of shared
-   passages and at edits), one run of each content is taken apart: into blocks of windows placed by their distance to
-   the leader, which are compared like runs by the bytes that all their windows share, and what still differs into
-   windows. Two names of 64 bits, made from different identifiers, must agree each time.
+1. Suffixes are sampled: a 200-byte window is led by the smallest name of a LEAD-byte string inside it. Equal windows
+   have equal leaders, and neighbouring windows share one, so a text becomes runs of windows, a few for a hundred bytes.
+   The leaders' names deal the runs to buckets. Buckets of one run hold no repeated string and are dropped. (What a
+   text repeats within itself is found where the text is, by sorting the names of its windows.)
+2. Runs of equal content repeat each other whole; they are merged, so copies, however many, meet here and nowhere else.
+   Only where runs of a bucket differ (at the ends of shared passages and at edits) one run of each content goes on.
+3. Whole buckets of such runs are refined, many in one task: all suffixes of the runs stand in initial buckets by their
+   first Q = 25 bytes; each pass sorts the suffixes of a bucket by the bucket pointers of the suffixes h bytes on and
+   renumbers the buckets, which doubles h; the next pass reads the renewed pointers. A suffix alone in its bucket, or
+   with such a one h bytes on, is repeated nowhere and leaves, so the passes shrink. Pointers are kept at exactly the
+   same depth, as equality at 200 bytes is asked for and not an order of suffixes: three passes lead from 25 to 200.
+4. A bucket of more than BUCKET_RUNS runs or BUCKET_BYTES bytes is no task's work. It is split by content first: into
+   blocks of windows placed by their distance to the leader, dealt by the bytes that all windows of a block share, and
+   merged like runs; what still differs is dealt window by window. Names at depth 200 are made there as pointers are,
+   from those at half the depth, but from content, since equal strings must be named alike in all tasks. Two names of
+   64 bits, made from different identifiers, must agree each time.
 
 All sums are combined before they are shuffled, so neither common passages nor large groups of copies gather in a
 task. Nothing is capped or sampled away: every window is in a run, and every run is compared.
 
 Defined results: a null or empty text has no bytes and nothing to remove; matches never cross texts; rows with the
 same doc_id are separate texts (they repeat each other); a null doc_id is a text like any other; further columns are
-ignored by cut() and kept by remove().
+ignored by cut().
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _texts
-from .common import apart, columns_or_null, map_arrow, materialise, release, small_batches
+from .common import apart, columns_or_null, map_arrow, materialise, release
 from .shingles import _BYTE, _STEP, mix
 
 Q, DEPTH = 25, 200
@@ -44,6 +46,9 @@ LEAD = 50
 #: Windows of a text that are worked on at a time; longer texts are taken in overlapping parts.
 PART = 1 << 20
 
+#: Runs and bytes of a bucket that is refined in one task, and bytes of buckets that are refined together.
+BUCKET_RUNS, BUCKET_BYTES, TOGETHER_BYTES = 4096, 2 << 20, 4 << 20
+
 _rng = np.random.default_rng(77)
 _C = _rng.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -108,6 +113,42 @@ def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + DEPTH).tolist(), strict=True))
 
 
+def _renumbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of the keys that occur more than once, their buckets' new numbers, and how many buckets there are."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(keys)))
+    held = np.repeat(sizes > 1, sizes)
+    number = np.repeat(np.cumsum(sizes > 1) - 1, sizes)
+    return order[held], number[held], int((sizes > 1).sum())
+
+
+def refined(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Starts of the 200-byte strings that occur more than once in segments of bytes that end where ends says.
+
+    The pointer of a suffix is the number of its bucket, -1 if it is alone in it.
+    """
+    n = len(data)
+    left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(n)
+    names = _joined(_joined(_BYTE[data], 1, 5), 5, 5)
+    at = np.flatnonzero(left[: len(names)] >= Q)
+    place, number, buckets = _renumbered(names[at])
+    at = at[place]
+    pointer = np.full(n, -1, np.int64)
+    pointer[at] = number
+    depth = Q
+    while depth < DEPTH:
+        at = at[left[at] >= 2 * depth]
+        later = pointer[at + depth]
+        at, later = at[later >= 0], later[later >= 0]
+        place, number, more = _renumbered(pointer[at] * buckets + later)
+        at, buckets, depth = at[place], more, 2 * depth
+        pointer = np.full(n, -1, np.int64)
+        pointer[at] = number
+    return np.sort(at)
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Distributed steps
 
@@ -192,10 +233,10 @@ def _block_rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[pa.array([o[k] for o in out], pa.int64()) for k in range(5)], pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))], BLOCKS.names)
 
 
-def _refined(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _merged_contents(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs (or blocks) by bucket: those repeated whole (row, first, n), and one of each content of the others.
 
-    Returns covered, representatives (row, first, n and further columns), and the table behind both, to be released.
+    Returns covered, representatives (key, row, first, n and further columns), and the table behind both, to be released.
     """
     shared = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("c"), F.min("name").alias("low"), F.max("name").alias("high")).where("c > 1")
     shared = shared.select(F.col("key").alias("bucket"), "low", "high")
@@ -214,6 +255,61 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return columns_or_null(documents, {"doc_id": "long", "text": "string"}).withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
 
 
+SEGMENTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("row", T.LongType()), T.StructField("first", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bytes", T.BinaryType())])
+COVERED = T.StructType([T.StructField(c, T.LongType()) for c in ("row", "first", "n")])
+
+
+def _segments_of(rows: DataFrame) -> DataFrame:
+    """row, text, wanted (array of key, first, n) -> the bytes under the windows of the wanted runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, text, wanted in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), _texts(batch.column(2)), strict=True):
+                data = (text or "").encode("utf-8", "surrogatepass")
+                out += [(w["key"], row, w["first"], w["n"], data[w["first"] : w["first"] + w["n"] + DEPTH - 1]) for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.dataType.typeName() == "binary" and pa.binary() or pa.int64()) for k, f in enumerate(SEGMENTS)], SEGMENTS.names)
+
+    return map_arrow(rows, run, SEGMENTS)
+
+
+def _refined_together(table: pa.Table) -> pa.RecordBatch:
+    """Whole buckets of segments -> stretches of windows that occur elsewhere."""
+    raw = table["bytes"].to_pylist()
+    ends = np.cumsum([len(x) for x in raw])
+    at = refined(np.frombuffer(b"".join(raw), np.uint8), ends)
+    cut = np.flatnonzero(np.append(True, np.diff(at) != 1)) if len(at) else np.zeros(0, np.int64)
+    segment = np.searchsorted(ends, at[cut], side="right")  # windows end within their segment, so no stretch crosses one
+    begins = ends - np.array([len(x) for x in raw], np.int64)
+    first = table["first"].to_numpy()[segment] + at[cut] - begins[segment]
+    return pa.RecordBatch.from_arrays([pa.array(table["row"].to_numpy()[segment]), pa.array(first), pa.array(np.diff(np.append(cut, len(at))).astype(np.int64))], COVERED.names)
+
+
+def _bucket_windows(segments: DataFrame) -> DataFrame:
+    """Refine every bucket (key) of the segments; a task takes whole buckets, some TOGETHER_BYTES at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size > TOGETHER_BYTES:
+                table = pa.Table.from_batches(held)
+                keys = table["key"].to_numpy()
+                whole = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
+                if whole:
+                    yield _refined_together(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+                size = sum(b.nbytes for b in held)
+        if held:
+            yield _refined_together(pa.Table.from_batches(held))
+
+    return map_arrow(segments.repartition("key").sortWithinPartitions("key"), run, COVERED)
+
+
 @contextlib.contextmanager
 def _short_lived_shuffles(spark: SparkSession):
     """Drop the shuffle files of each written step as soon as it is written, where the session allows it."""
@@ -229,22 +325,26 @@ def _short_lived_shuffles(spark: SparkSession):
 def covered_windows(documents: DataFrame) -> DataFrame:
     """row, first, n: stretches of windows that occur elsewhere, of all texts (row as in _keyed())."""
     spark = documents.sparkSession
-    small_batches(spark, 256)
     rows = _keyed(documents)
     with _short_lived_shuffles(spark):
         found = materialise(_runs_of(rows.select("row", "text")), "runs")
-        whole, open_runs, met = _refined(found)
+        whole, open_runs, met = _merged_contents(found)
         release(met)
-        wanted = open_runs.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("wanted"))
-        parts = materialise(_blocks_of(rows.select("row", "text").join(wanted, "row")), "blocks")
-        whole_blocks, open_blocks, met = _refined(parts, "ids")
+        sizes = open_runs.groupBy("key").agg((F.count("*") > BUCKET_RUNS).alias("many"), F.sum(F.col("n") + DEPTH - 1).alias("size"))
+        large = materialise(sizes.where(F.col("many") | (F.col("size") > BUCKET_BYTES)).select(F.col("key").alias("bucket")), "large")
+        is_large = apart("key") == apart("bucket")
+        texts = rows.select("row", "text")
+        listed = lambda runs, *columns: texts.join(runs.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("wanted")), "row")
+        refined_runs = materialise(_bucket_windows(_segments_of(listed(open_runs.join(large, is_large, "left_anti"), "key", "first", "n"))), "refined")
+        parts = materialise(_blocks_of(listed(open_runs.join(large, is_large, "left_semi"), "first", "n")), "blocks")
+        whole_blocks, open_blocks, met = _merged_contents(parts, "ids")
         release(met)
         windows = materialise(open_blocks.select("key", "row", "first", F.posexplode("ids").alias("k", "id")).select("key", "id", "row", (F.col("first") + F.col("k")).alias("first")).distinct(), "windows")
         twice = windows.groupBy("key", "id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("bucket"), F.col("id").alias("same"))
         single = materialise(windows.join(twice, (apart("key") == apart("bucket")) & (F.col("id") == F.col("same")), "left_semi").select("row", "first", F.lit(1).cast("long").alias("n")), "single")
-        release(parts, windows, open_runs, open_blocks)
+        release(parts, windows, open_runs, open_blocks, large)
     own = found.where("key is null").select("row", "first", "n")
-    return own.union(whole).union(whole_blocks).union(single)
+    return own.union(whole).union(refined_runs).union(whole_blocks).union(single)
 
 
 def cut(documents: DataFrame, with_bytes: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import repeats
@@ -46,7 +47,12 @@ def got(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
 
 
-def test_equals_brute_force(spark, texts, monkeypatch):
+@pytest.mark.parametrize("runs, part", [(4096, 1 << 20), (1, 1 << 20), (2, 1 << 20), (4096, 150)])
+def test_equals_brute_force(spark, texts, monkeypatch, runs, part):
+    """Buckets refined whole, split by content, both; and texts worked on in overlapping parts."""
+    monkeypatch.setattr(repeats, "BUCKET_RUNS", runs)
+    monkeypatch.setattr(repeats, "PART", part)
+    monkeypatch.setattr(repeats, "TOGETHER_BYTES", 1000 if runs == 4096 else 4 << 20)
     docs = spark.createDataFrame([(i, t, 5, "k") for i, t in enumerate(texts)], "doc_id long, text string, row int, key string").repartition(5)
     assert got(repeats.cut(docs)) == dict(enumerate(brute(texts)))
 
@@ -66,3 +72,19 @@ def test_sample_table(spark):
     rows = docs.collect()
     want = brute([r.text for r in rows])
     assert got(repeats.cut(docs)) == {r.doc_id: w for r, w in zip(rows, want, strict=True)}
+
+
+def test_refinement_equals_brute_force():
+    rng = random.Random(8)
+    for alphabet, copies in (("ab", 3), ("a", 2), ("abcdefgh", 6)):
+        base = "".join(rng.choice(alphabet) for _ in range(900))
+        segments = []
+        for _ in range(copies):
+            k = rng.randrange(600)
+            segments.append((base[k : k + rng.randrange(150, 500)] + rng.choice(["", "x", "ba"]) + base[:120]).encode())
+        joined, ends = b"".join(segments), np.cumsum([len(x) for x in segments])
+        starts = [p for a, e in zip(np.append(0, ends), ends, strict=False) for p in range(a, e - 199)]
+        seen = collections.Counter(joined[p : p + 200] for p in starts)
+        got = repeats.refined(np.frombuffer(joined, np.uint8), ends)
+        assert got.tolist() == [p for p in starts if seen[joined[p : p + 200]] > 1]
+    assert len(repeats.refined(np.zeros(0, np.uint8), np.zeros(0, np.int64))) == 0
