@@ -8,9 +8,10 @@
    buckets: signatures first, then the full sets. Large-star and small-star join the links to components.
 4. A bucket whose classes are in one component has nothing more to tell: that ends all groups of near copies, however
    large, after work in proportion to their size. The other buckets of three or more are cut into blocks of bounded
-   rows and bytes; each pair of blocks is one task, which verifies the pairs of different components that share no
-   earlier band, as products of 0/1 matrices over the shingles that occur twice. A task returns a star for each local
-   component, so neither candidate pairs nor links are ever rows, and no pair of a bucket goes unchecked.
+   rows and bytes; each pair of blocks is one task, which looks at the pairs of different components that share no
+   earlier band: at their signatures first, then, for the classes that may still link, at their full sets, as products
+   of 0/1 matrices over the shingles that occur twice. A task returns a star for each local component, so neither
+   candidate pairs nor links are ever rows, and no pair of a bucket goes unchecked.
 5. Components over all links.
 
 Defined results: null or empty texts, and texts without words, have no shingles, link with nothing and are kept; a
@@ -43,6 +44,7 @@ BLOCK_ROWS, BLOCK_BYTES, BLOCK_SHINGLES = 512, 16 << 20, 4096
 
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
+PLACED = T.StructType([*[T.StructField(c, T.LongType()) for c in ("bucket", "i", "j", "block", "node", "label", "least")]])
 EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
@@ -77,38 +79,38 @@ def full_sets(documents: DataFrame, words: int) -> DataFrame:
     return map_arrow(text_input(documents), run, SETS)
 
 
+def likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v, signature, other_signature) -> the pairs (u, v) whose signatures may belong to a link."""
+    for b in batches:
+        if b.num_rows:
+            one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in (2, 3))
+            maybe = pa.array((one == two).mean(1) >= percent / 100 - SIGNATURE_MARGIN)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(maybe), b.column(1).filter(maybe)], EDGES.names)
+
+
 def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (u, v, signature, shingles, other_signature, other_shingles) -> the links (u, v) among them."""
+    """Rows (u, v, shingles, other_shingles) -> the links (u, v) among them."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in (2, 4))
-        maybe = np.flatnonzero((one == two).mean(1) >= percent / 100 - SIGNATURE_MARGIN)
         found = []
-        for k in maybe.tolist():
-            x, y = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint64) for c in (3, 5))
+        for k in range(b.num_rows):
+            x, y = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
             both = np.concatenate([x, y])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             if common and 100 * common >= percent * (len(x) + len(y) - common):
                 found.append(k)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found, pa.int64())), b.column(1).take(pa.array(found, pa.int64()))], EDGES.names)
+        some = pa.array(found, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some)], EDGES.names)
 
 
-def linked(signatures: list[np.ndarray], sets: list[list[np.ndarray]], percent: int, asked: np.ndarray | None = None) -> np.ndarray:
-    """Which of one block's sets (rows) link with which of another's (columns): 100 * intersection >= percent * union.
+def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, maybe: np.ndarray) -> np.ndarray:
+    """Which of one block's sets (rows) link with which of another's (columns), of the pairs that maybe marks.
 
-    With asked, only the pairs that it marks are looked at.
+    100 * intersection >= percent * union.
     """
-    (one, two), (a, b) = signatures, sets
-    agree = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(one.shape[1]):
-        agree += one[:, k][:, None] == two[:, k][None, :]
     na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     least, most = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
-    maybe = (agree >= (percent / 100 - SIGNATURE_MARGIN) * one.shape[1]) & (100 * least >= percent * most)
-    if asked is not None:
-        maybe &= asked
+    maybe = maybe & (100 * least >= percent * most)
     out = np.zeros(maybe.shape, bool)
     rows, columns = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
     if not len(rows):
@@ -144,24 +146,49 @@ def local_roots(link: np.ndarray) -> np.ndarray:
         root = after
 
 
-def block_stars(table: pa.Table, percent: int) -> pa.Table:
-    """One pair of a bucket's blocks (columns bucket, i, j, block, node, label, least, signature, shingles) -> stars."""
+def _sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A task's rows in the order of their nodes, and the places of its two blocks."""
     table = table.combine_chunks().sort_by("node")
-    ids, label, block = (table[c].to_numpy() for c in ("node", "label", "block"))
-    i, j, bucket, least = (table[c][0].as_py() for c in ("i", "j", "bucket", "least"))
-    rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    block = table["block"].to_numpy()
+    return table, np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py())
+
+
+def _maybe(table: pa.Table, rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of one pair of a bucket's blocks that may link and are not settled elsewhere."""
+    ids, label = table["node"].to_numpy(), table["label"].to_numpy()
+    bucket, least = table["bucket"][0].as_py(), table["least"][0].as_py()
     # pairs of one component, and pairs with the bucket's first class, are settled
     asked = (label[rows][:, None] != label[columns]) & (ids[rows] != least)[:, None] & (ids[columns] != least)
-    root = np.arange(len(ids))
     if asked.any():
         signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(ids), -1)
         keys = band_keys(signatures, BANDS)
         for band in range(int(np.flatnonzero((keys == bucket).all(0))[0])):  # pairs that share an earlier band meet there
             asked &= keys[rows, band][:, None] != keys[columns, band]
     if asked.any():
+        agree = np.zeros(asked.shape, np.uint16)
+        for k in range(signatures.shape[1]):
+            agree += signatures[rows, k][:, None] == signatures[columns, k]
+        asked &= agree >= (percent / 100 - SIGNATURE_MARGIN) * signatures.shape[1]
+    return asked
+
+
+def block_candidates(table: pa.Table, percent: int) -> pa.Table:
+    """The rows of one pair of blocks (PLACED and signature) that a link may join."""
+    table, rows, columns = _sides(table)
+    maybe = _maybe(table, rows, columns, percent)
+    some = np.union1d(rows[maybe.any(1)], columns[maybe.any(0)])
+    return table.select(PLACED.names + ["signature"]).take(pa.array(some, pa.int64()))
+
+
+def block_stars(table: pa.Table, percent: int) -> pa.Table:
+    """One pair of a bucket's blocks (PLACED, signature and shingles) -> stars of its links."""
+    table, rows, columns = _sides(table)
+    ids, root = table["node"].to_numpy(), np.arange(table.num_rows)
+    maybe = _maybe(table, rows, columns, percent)
+    if maybe.any():
         link = np.zeros((len(ids), len(ids)), bool)
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        found = linked([signatures[rows], signatures[columns]], [[sets[k] for k in rows], [sets[k] for k in columns]], percent, asked)
+        found = linked([sets[k] for k in rows], [sets[k] for k in columns], percent, maybe)
         link[np.ix_(rows, columns)] |= found
         link[np.ix_(columns, rows)] |= found.T
         root = local_roots(link)
@@ -172,11 +199,12 @@ def block_stars(table: pa.Table, percent: int) -> pa.Table:
 def first_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between classes and the first classes of their buckets (bucket, node, least, n)."""
     pairs = buckets.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    one = sets.select(F.col("node").alias("u"), "signature", "shingles", "n")
-    two = sets.select(F.col("node").alias("v"), F.col("signature").alias("other_signature"), F.col("shingles").alias("other_shingles"), F.col("n").alias("m"))
+    side = lambda key, *columns: sets.select(F.col("node").alias(key), *columns)
     like = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    met = pairs.join(one, "u").join(two, "v").where(like).select("u", "v", "signature", "shingles", "other_signature", "other_shingles")
-    return map_arrow(met, lambda batches: verified(batches, percent), EDGES)
+    signed = pairs.join(side("u", "signature", "n"), "u").join(side("v", F.col("signature").alias("other"), F.col("n").alias("m")), "v").where(like)
+    near = map_arrow(signed.select("u", "v", "signature", "other"), lambda batches: likely(batches, percent), EDGES)
+    met = near.join(side("u", "shingles"), "u").join(side("v", F.col("shingles").alias("other")), "v")
+    return map_arrow(met.select("u", "v", "shingles", "other"), lambda batches: verified(batches, percent), EDGES)
 
 
 def open_links(buckets: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -187,9 +215,10 @@ def open_links(buckets: DataFrame, sets: DataFrame, known: DataFrame, percent: i
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("long")
     still = still.select(F.col("bucket").alias("open"), blocks.alias("blocks"))
     placed = labelled.join(still, apart("bucket") == apart("open")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = placed.join(sets.select("node", "signature", "shingles"), "node")
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "least", "signature", "shingles")
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(lambda table: block_stars(table, percent), EDGES)
+    placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*PLACED.names)
+    signed = T.StructType([*PLACED, T.StructField("signature", T.BinaryType())])
+    some = placed.join(sets.select("node", "signature"), "node").select(*signed.names).groupBy("bucket", "i", "j").applyInArrow(lambda table: block_candidates(table, percent), signed)
+    return some.join(sets.select("node", "shingles"), "node").groupBy("bucket", "i", "j").applyInArrow(lambda table: block_stars(table, percent), EDGES)
 
 
 def _grouped(documents: DataFrame, words: int, percent: int) -> DataFrame:
