@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, minhash, mixing, pii, quality_rules
-from tessera.llm.common import materialise, read_table
+from tessera.llm.common import materialise, read_table, release
 
 
 def reject_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of the documents that the stages leave, one row for each time the mix takes one.
+
+    A stage's table is removed once the next one is written. Defined results: null and empty texts fail the quality
+    rules and go; a null lang or source is a group of its own; a document without doc_id is kept, never a duplicate,
+    and its row has a null doc_id; of repeated rows one stays, unless they have no doc_id; very long texts are worked
+    on whole; an empty table, or one of which the rules keep nothing, gives no rows; further columns, whatever they
+    are called, go along until the tokens.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
