@@ -101,6 +101,11 @@ def finalized(nodes: DataFrame, keys: list[str], cancelled: Column | None = None
     return nodes.groupBy(*keys).agg(F.count("*").alias("n_nodes"), done.alias("finished"))
 
 
+def counts_by_status(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Number of nodes (or tasks) in each status, in all or by keys."""
+    return nodes.groupBy(*(keys or []), "status").agg(F.count("*").alias("n"))
+
+
 def cancel(nodes: DataFrame, tasks: DataFrame, key: str) -> DataFrame:
     """Nodes with new_status: every open node of the given tasks becomes cancelling, whatever its place in the graph."""
     hit = tasks.select(key).distinct().withColumn("_hit", F.lit(True))

@@ -129,7 +129,7 @@ def a10_incr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def a12_count_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return graph.counts_by_status(scan(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1")
@@ -304,12 +304,6 @@ def m2_lease(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.last_wins(rows, ["user_id"], "at", ["event_type"]).select("user_id", F.col("at.ts").alias("ts"), "event_type", F.col("at.event_id").alias("event_id"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'deferred' ELSE 'running' END AS status, CASE WHEN event_type = 'error' THEN (epoch_us(ts) // 1000) + 300000 END AS next_retry_ms FROM events")
-def m7_retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = F.col("event_type") == "error"
-    return _event_ms(spark, sf_dir).select("event_id", F.when(failed, "deferred").otherwise("running").alias("status"), F.when(failed, F.col("ts_ms") + 300_000).alias("next_retry_ms"))
-
-
 @query("SELECT n.o_orderkey AS node_id, n.o_custkey AS task_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey WHERE o.o_custkey = n.o_custkey AND l_returnflag = 'R' AND l_quantity >= 49) AND n.o_orderstatus <> 'F' THEN 'cancelling' ELSE CASE n.o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'running' ELSE 'queued' END END AS new_status FROM orders n")
 def m14_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = scan(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), F.col("o_custkey").alias("task_id"), F.expr(_STATUS).alias("status"))

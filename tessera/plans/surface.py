@@ -12,7 +12,7 @@ from ..operators import artifacts, coordination, events, graph, reliability, sch
 from ..operators import vars as tree
 from ..sources import tables
 from ..sources.config import load, load_worker
-from ..sources.handlers import Batch, BatchResult, EchoHandler, Handler, pulled, run_batches, run_tasks, until_failure
+from ..sources.handlers import Batch, BatchResult, EchoHandler, Handler, input_arguments, pulled, run_batches, run_tasks, until_failure
 from ..sources.scratch import scratch_folder
 from ..sources.tables import scan
 from ..streaming import status
@@ -463,6 +463,15 @@ def x6_adapter_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, chosen(c, h)) for n, c, h, _ in _CHOICES], "name string, adapter string")
 
 
+@query("SELECT * FROM (VALUES ('kept', 'pull.from_artifacts', 'a'), ('own', 'pull.from_artifacts.rechunk:size', 'b')) AS t(name, adapter, from_node)")
+def s7_load_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler's load may add arguments and choose an adapter where none is given, but not replace the coordinator's."""
+    own = {"input_inline": {"input_adapter": "pull.from_artifacts.rechunk:size", "input_args": {"from_node": "b", "size": 2}}}
+    given = {"kept": {"input_adapter": "pull.from_artifacts", "input_args": {"from_node": "a"}}, "own": {}}
+    rows = [(name, *input_arguments(None, inline, own)) for name, inline in given.items()]
+    return spark.createDataFrame([(n, a, args["from_node"]) for n, a, args in rows], "name string, adapter string, from_node string")
+
+
 _ARGUMENTS = [
     ("alias", {"from_node": "a"}, "pull.from_artifacts", False, "ok"), ("no_source", {}, "pull.from_artifacts", False, "bad_input_args"), ("size", {"from_nodes": ["a"], "size": 3}, "pull.from_artifacts.rechunk:size", False, "ok"), ("size_zero", {"from_nodes": ["a"], "size": 0}, "pull.from_artifacts.rechunk:size", False, "bad_input_args"),
     ("size_text", {"from_nodes": ["a"], "size": "3"}, "pull.from_artifacts.rechunk:size", False, "bad_input_args"), ("key_number", {"from_nodes": ["a"], "size": 3, "meta_list_key": 5}, "pull.from_artifacts.rechunk:size", False, "bad_input_args"), ("strict_without_key", {"from_nodes": ["a"], "size": 3}, "pull.from_artifacts.rechunk:size", True, "bad_input_args"),
