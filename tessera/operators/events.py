@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in a total order. The rows themselves are combined before the shuffle.
 
-    A window would send a hot key's rows to one task; min_by keeps one candidate for each key and map task.
+    A window would send a hot key's rows to one task; here each map task keeps one candidate for each key. Where order
+    names columns, they travel once, in front of the others in one struct, whose minimum is the row; columns without
+    an order (maps) need a second struct.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    given = dict(df.dtypes)
+    named = [c for c in order if isinstance(c, str) and c in given and c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in named]
+    if len(named) == len(order) and not any(x in given[c] for c in rest for x in ("map<", "variant")):
+        first = F.min(F.struct(*named, *rest)).alias("_row")
+    else:
+        first = F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
