@@ -99,43 +99,74 @@ def fold_state(events: DataFrame, backoff_sec: int = 300) -> DataFrame:
     TASK_START sets a running node of its epoch; TASK_CANCEL, which the coordinator itself writes, makes an open node
     cancelling in any epoch; events of another epoch are fenced off; GATED kinds need a running node, so a batch after
     the end is dropped. failed_ms and failed_seq place the first permanent failure. Whether an event counts depends on the state at its arrival, which a
-    column expression can't hold, so a node's events are folded as one group.
+    column expression can't hold, so events are dealt by node, sorted, and passed once: a task remembers one node's
+    state and the ids of its batches, never its history.
     """
+    given = ["task_id", "node_id", "kind", "epoch", "recv_ts_ms", "seq", "worker_id", "deadline_ms", "batch_uid", "permanent"]
+    ordered = events.select(*given).repartition("task_id", "node_id").sortWithinPartitions("task_id", "node_id", "recv_ts_ms", "seq")
+    names = [c.split()[0] for c in FOLDED.split(", ")]
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        status, epoch, worker, deadline, last, retry, failed = "queued", 0, None, None, None, None, None
-        ok: set = set()
-        bad: set = set()
-        for e in pdf.sort_values(["recv_ts_ms", "seq"]).itertuples():
-            if e.kind == "TASK_START":
-                if status in ("queued", "deferred") and e.epoch == epoch + 1:
-                    status, epoch, retry = "running", int(e.epoch), None
-                continue
-            if e.kind == "TASK_CANCEL":
-                status = "cancelling" if status in OPEN else status
-                continue
-            if e.epoch != epoch or (e.kind in GATED and status != "running"):
-                continue
-            last = int(e.recv_ts_ms) if last is None else max(last, int(e.recv_ts_ms))
-            if e.kind in ("TASK_ACCEPTED", "TASK_HEARTBEAT", "TASK_RESUMED"):
-                worker = e.worker_id
-                if not pd.isna(e.deadline_ms):
-                    deadline = int(e.deadline_ms) if deadline is None or e.kind == "TASK_ACCEPTED" else max(deadline, int(e.deadline_ms))
-            elif e.kind in ("BATCH_OK", "BATCH_FAILED"):
-                if e.batch_uid not in ok and e.batch_uid not in bad:
-                    (ok if e.kind == "BATCH_OK" else bad).add(e.batch_uid)
-            elif e.kind == "TASK_DONE":
-                status = "finished"
-            elif e.kind == "TASK_FAILED" and e.permanent:
-                failed = failed or (int(e.recv_ts_ms), int(e.seq))
-                status = "cancelling" if status in OPEN else status
-            elif e.kind == "TASK_FAILED":
-                status, retry = "deferred", int(e.recv_ts_ms) + backoff_sec * 1000
-            elif e.kind == "CANCELLED":
-                status = "deferred"
-        return pd.DataFrame([[*key, status, epoch, worker, deadline, last, len(ok), len(bad), retry, failed is not None, *(failed or (None, None))]], columns=[c.split()[0] for c in FOLDED.split(", ")])
-
-    return events.groupBy("task_id", "node_id").applyInPandas(fold, FOLDED)
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        now: _Node | None = None
+        for pdf in frames:
+            out = []
+            for e in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                if now is None or now.key != (e.task_id, e.node_id):
+                    if now:
+                        out.append(now.row())
+                    now = _Node((e.task_id, e.node_id), backoff_sec * 1000)
+                now.take(e)
+            yield pd.DataFrame(out, columns=names)
+        if now:
+            yield pd.DataFrame([now.row()], columns=names)
+
+    return ordered.mapInPandas(run, FOLDED)
+
+
+class _Node:
+    """The state of one node while its events pass."""
+
+    def __init__(self, key: tuple, backoff_ms: int):
+        self.key, self.backoff_ms = key, backoff_ms
+        self.status, self.epoch, self.worker = "queued", 0, None
+        self.deadline, self.last, self.retry, self.failed = None, None, None, None
+        self.ok: set = set()
+        self.bad: set = set()
+
+    def cancel(self) -> None:
+        if self.status in OPEN:
+            self.status = "cancelling"
+
+    def take(self, e) -> None:
+        if e.kind == "TASK_START":
+            if self.status in ("queued", "deferred") and e.epoch == self.epoch + 1:
+                self.status, self.epoch, self.retry = "running", e.epoch, None
+        elif e.kind == "TASK_CANCEL":
+            self.cancel()
+        elif e.epoch == self.epoch and (e.kind not in GATED or self.status == "running"):
+            self.last = e.recv_ts_ms if self.last is None else max(self.last, e.recv_ts_ms)
+            self.accepted(e)
+
+    def accepted(self, e) -> None:
+        if e.kind in ("TASK_ACCEPTED", "TASK_HEARTBEAT", "TASK_RESUMED"):
+            self.worker = e.worker_id
+            if e.deadline_ms is not None:
+                self.deadline = e.deadline_ms if self.deadline is None or e.kind == "TASK_ACCEPTED" else max(self.deadline, e.deadline_ms)
+        elif e.kind in ("BATCH_OK", "BATCH_FAILED"):
+            if e.batch_uid not in self.ok and e.batch_uid not in self.bad:
+                (self.ok if e.kind == "BATCH_OK" else self.bad).add(e.batch_uid)
+        elif e.kind == "TASK_DONE":
+            self.status = "finished"
+        elif e.kind == "TASK_FAILED" and e.permanent:
+            self.failed = self.failed or (e.recv_ts_ms, e.seq)
+            self.cancel()
+        elif e.kind == "TASK_FAILED":
+            self.status, self.retry = "deferred", e.recv_ts_ms + self.backoff_ms
+        elif e.kind == "CANCELLED":
+            self.status = "deferred"
+
+    def row(self) -> tuple:
+        return (*self.key, self.status, self.epoch, self.worker, self.deadline, self.last, len(self.ok), len(self.bad), self.retry, self.failed is not None, *(self.failed or (None, None)))
 
 
 def with_cascade(events: DataFrame, backoff_sec: int = 300) -> DataFrame:

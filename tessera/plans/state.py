@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import artifacts, events, graph, metrics, reliability, schedule, sinks
 from ..operators.coordination import FUNCTIONS
 from ..sources.tables import scan
-from .bindings import NOW_MS, query
+from .bindings import NOW_MS, ORACLES, QUERIES, query
 
 # ---------------------------------------------------------------------------------------------------------------------
 # A graph for each customer: orders are nodes, which depend on the two orders before and, some, on one that is unknown
@@ -99,26 +99,20 @@ def j2_dependency_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependency_states(_nodes(spark, sf_dir)).select("task_id", "node_id", "dep", "dep_status")
 
 
-def _rule(name: str, test: str):
-    @query(f"WITH {_READY} SELECT node_id, n_deps, n_finished, met AS ready FROM r WHERE {test}")
+def _rule(name: str, test: str) -> None:
     def rule(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes = _nodes(spark, sf_dir)
-        states = graph.dependency_states(nodes.where(test)).drop("dep_status").join(nodes.select("task_id", F.col("node_id").alias("dep"), F.col("status").alias("dep_status")), ["task_id", "dep"], "left")
-        return graph.fan_in(states, ["node_id"], F.col("fan_in"))
+        wanted = nodes.where(test).select("task_id", "node_id")
+        return graph.fan_in(graph.dependency_states(nodes).join(wanted, ["task_id", "node_id"], "left_semi"), ["node_id"], F.col("fan_in"))
 
-    return rule
+    QUERIES[name] = rule
+    ORACLES[name] = f"WITH {_READY} SELECT node_id, n_deps, n_finished, met AS ready FROM r WHERE {test}"
 
 
-def _register_rules() -> None:
-    from .bindings import ORACLES, QUERIES
-
-    for name, test in {"a4_all_of_graph": "(fan_in IS NULL OR fan_in = 'ALL')", "a5_any_of_graph": "fan_in = 'any'", "a6_count_of_graph": "fan_in IN ('count:2', 'COUNT:1', 'count:x')", "a7_unknown_rule": "fan_in = 'most'"}.items():
-        f = _rule(name, test)
-        QUERIES[name], ORACLES[name] = f, ORACLES.pop("rule")
-        QUERIES.pop("rule", None)
-
-
-_register_rules()
+_rule("a4_all_of_graph", "(fan_in IS NULL OR fan_in = 'ALL')")
+_rule("a5_any_of_graph", "fan_in = 'any'")
+_rule("a6_count_of_graph", "fan_in IN ('count:2', 'COUNT:1', 'count:x')")
+_rule("a7_unknown_rule", "fan_in = 'most'")
 
 
 @query(f"WITH {_READY} SELECT task_id, node_id FROM due")
@@ -200,8 +194,7 @@ FROM h JOIN r USING (task_id, node_id) WHERE status IN ('queued', 'deferred') AN
 def t4_on_first_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
     up = lambda i: nodes.where(F.size("depends_on") > i).withColumn("src", F.get("depends_on", F.lit(i))).where("src >= 0")
-    async_edge = (F.col("node_id") % 3 == 0) & F.lit(True)
-    edges = up(0).select("task_id", "src", F.col("node_id").alias("dst"), F.when(async_edge, "async").alias("mode"), F.lit("on_batch").alias("trigger"))
+    edges = up(0).select("task_id", "src", F.col("node_id").alias("dst"), F.when(F.col("node_id") % 3 == 0, "async").alias("mode"), F.lit("on_batch").alias("trigger"))
     edges = edges.union(up(1).select("task_id", "src", F.col("node_id").alias("dst"), F.lit(None).cast("string"), F.lit(None).cast("string")))
     batches = scan(spark, sf_dir, "lineitem", "l_returnflag <> 'R' AND l_quantity > 25").select(F.col("l_orderkey").alias("node_id")).join(_owner(spark, sf_dir), "node_id")
     return schedule.on_first_batch(batches, _tasks(spark, sf_dir), nodes, edges, _made(spark, sf_dir), NOW_MS).select("node_id", "go")
@@ -306,8 +299,6 @@ def m3_fold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold_part(name: str, columns: dict[str, str]) -> None:
-    from .bindings import ORACLES, QUERIES
-
     sql = f"{_FOLDED} SELECT {_NODE_COLUMNS}, {', '.join(f'{s} AS {c}' for c, s in columns.items())} FROM a"
     QUERIES[name] = lambda spark, sf_dir: events.fold_state(_status_events(spark, sf_dir)).select("task_id", "node_id", *columns)
     ORACLES[name] = sql
