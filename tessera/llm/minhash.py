@@ -269,3 +269,21 @@ def deduplicate(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     once = whole.join(gone.union(met.select("_d", "_h")), is_row, "left_anti")
     again = whole.join(met.where("stays"), is_row, "left_semi").groupBy("d", "h").agg(F.first("row").alias("row"))
     return once.select("row.*").union(again.select("row.*"))
+
+
+#: Pairs by their common shingles and components in one query, for four-word shingles and small tables of unique doc_ids.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)
+), r AS (
+  SELECT doc_id AS node, doc_id AS root FROM n
+  UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b
+), c AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+"""

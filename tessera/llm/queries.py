@@ -62,4 +62,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_packed_ids": op10_packed_ids,
 }
-ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_vectors": vectors.ORACLE_SQL, "op6_minhash": minhash.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op9_repeats": repeats.ORACLE_SQL}

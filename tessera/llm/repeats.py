@@ -382,3 +382,30 @@ def _merged(spans) -> Iterator[tuple[int, int]]:
             now = (a, b)
     if now:
         yield now
+
+
+#: All 200-byte windows in one query, for small tables.
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT k, unnest(range(1, octet_length(b) - 198)) AS i, b FROM d WHERE octet_length(b) >= 200
+), h AS (
+  SELECT k, i, sha256(b[i : i + 199]) AS h FROM w
+), twice AS (
+  SELECT h FROM h GROUP BY 1 HAVING count(*) > 1
+), hit AS (
+  SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM h SEMI JOIN twice USING (h)
+), run AS (
+  SELECT k, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS run FROM hit
+), span AS (
+  SELECT k, run, min(i) AS a, max(i) + 199 AS z FROM run GROUP BY 1, 2
+), gap AS (
+  SELECT k, run, coalesce(lag(z) OVER (PARTITION BY k ORDER BY run), 0) + 1 AS a, span.a - 1 AS z, span.z - span.a + 1 AS removed, span.z AS last FROM span
+), cut AS (
+  SELECT d.k, sum(removed) AS removed, count(*) AS spans, list(d.b[gap.a : gap.z] ORDER BY run) AS parts, max(last) AS last FROM gap JOIN d USING (k) GROUP BY 1
+)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(CASE WHEN removed IS NULL THEN b ELSE list_reduce(list_append(parts, b[last + 1 : octet_length(b)]), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (k)
+"""
