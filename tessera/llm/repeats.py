@@ -255,7 +255,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return columns_or_null(documents, {"doc_id": "long", "text": "string"}).withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
 
 
-SEGMENTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("row", T.LongType()), T.StructField("first", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bytes", T.BinaryType())])
+SEGMENTS = T.StructType([*[T.StructField(c, T.LongType()) for c in ("key", "row", "first", "n")], T.StructField("bytes", T.BinaryType())])
 COVERED = T.StructType([T.StructField(c, T.LongType()) for c in ("row", "first", "n")])
 
 
@@ -268,7 +268,7 @@ def _segments_of(rows: DataFrame) -> DataFrame:
             for row, text, wanted in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), _texts(batch.column(2)), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 out += [(w["key"], row, w["first"], w["n"], data[w["first"] : w["first"] + w["n"] + DEPTH - 1]) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.dataType.typeName() == "binary" and pa.binary() or pa.int64()) for k, f in enumerate(SEGMENTS)], SEGMENTS.names)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((*[pa.int64()] * 4, pa.binary()))], SEGMENTS.names)
 
     return map_arrow(rows, run, SEGMENTS)
 
